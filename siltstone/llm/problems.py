@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import packing, tokens
+from siltstone.llm import dedup, packing, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All batches as one delivery to an empty store."""
+    return dedup.Store(spark).append(_t(spark, sf, "documents"), keep=False)
+
+
+def p5_last_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the last batch, against a store that took in the earlier ones."""
+    docs, store = _t(spark, sf, "documents"), dedup.Store(spark)
+    last = docs.agg(F.max("batch_no")).scalar()
+    store.append(docs.where(F.col("batch_no") < last))
+    return store.append(docs.where(F.col("batch_no") == last), keep=False)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encoded(_t(spark, sf, "documents"))
 
@@ -27,5 +41,5 @@ def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p7_packed(spark, sf), _t(spark, sf, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_packed, p7_summary)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_last_batch, p6_ids, p6_round_trip, p7_packed, p7_summary)}
 ORACLE: dict[str, str] = {}
