@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import dedup, packing, tokens
+from siltstone.llm import dedup, packing, subjects, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,5 +41,13 @@ def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p7_packed(spark, sf), _t(spark, sf, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_last_batch, p6_ids, p6_round_trip, p7_packed, p7_summary)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects_of(*(_t(spark, sf, n) for n in ("documents", "subject_labels", "subjects")))
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_found(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_last_batch, p6_ids, p6_round_trip, p7_packed, p7_summary, p8_found, p8_composition)}
 ORACLE: dict[str, str] = {}
