@@ -55,10 +55,10 @@ def object_path(root: str, key: Column, prefix: str) -> Column:
 def sanitized(name: Column) -> Column:
     """A usable file name: ``/`` and NUL become ``_``; above 150 bytes the head plus eight digits of the SHA-1.
 
-    The cut is by bytes; a character cut in two is decoded as U+FFFD. Null stays null.
+    The cut is by bytes; a character cut in two becomes U+FFFD. Null stays null.
     """
     plain = F.translate(name, "/\x00", "__")
-    head = F.decode(F.substring(plain.cast("binary"), 1, NAME_KEPT), "UTF-8")
+    head = F.make_valid_utf8(F.substring(plain.cast("binary"), 1, NAME_KEPT).cast("string"))
     short = F.concat(head, F.lit("_"), F.substring(F.sha1(name), 1, 8))
     return F.when(F.octet_length(plain) > NAME_BYTES, short).otherwise(plain)
 
