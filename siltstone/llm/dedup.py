@@ -93,41 +93,63 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A post is a head unless it is tightly close to one, so near-copies do not pile up: a block's memory is its heads.
     """
-    block, ids, bits = None, [], []
+    block, ids, bits, many = None, [], [], np.zeros((0, 2), dtype=np.uint64)
     for b in batches:
-        keys = b.column(0).to_numpy()
-        docs = b.column(1).to_numpy()
+        left, right, tight = [], [], []
         both = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).view(np.uint64)
-        left, right = [], []
-        for k, d, w in zip(keys.tolist(), docs.tolist(), both, strict=True):
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), both[:, 0].tolist(), both[:, 1].tolist(), strict=True)
+        for k, d, w1, w2 in rows:
+            w = w1 << 64 | w2
             if k != block:
-                block, ids, bits = k, [], []
-            if ids:
-                apart = np.bitwise_count(np.stack(bits) ^ w).sum(axis=1)
-                near = np.flatnonzero(apart <= fp.MOST_DIFFERENT)
-                left += [ids[i] for i in near]
-                right += [d] * len(near)
-                if len(near) and apart.min() <= TIGHT:
-                    continue
-            ids.append(d)
-            bits.append(w)
-        yield pa.record_batch({"doc_id_a": pa.array(left, pa.int64()), "doc_id_b": pa.array(right, pa.int64())})
+                block, ids, bits, many = k, [d], [w], many[:0]
+                continue
+            collapsed = False
+            if len(ids) < 64:
+                near = [(i, n) for i, v in zip(ids, bits, strict=True) if (n := (v ^ w).bit_count()) <= fp.MOST_DIFFERENT]
+            else:
+                n_heads = len(ids)
+                if len(many) < n_heads:  # grown by doubling, filled from the heads it lacks
+                    fresh = np.array([[v >> 64, v & (1 << 64) - 1] for v in bits], dtype=np.uint64)
+                    many = np.zeros((2 * n_heads, 2), dtype=np.uint64)
+                    many[:n_heads] = fresh
+                apart = np.bitwise_count(many[:n_heads] ^ np.array([w1, w2], dtype=np.uint64)).sum(axis=1)
+                near = [(ids[i], int(apart[i])) for i in np.flatnonzero(apart <= fp.MOST_DIFFERENT)]
+            for i, n in near:
+                left.append(i)
+                right.append(d)
+                tight.append(n <= TIGHT)
+                collapsed |= n <= TIGHT
+            if not collapsed:
+                ids.append(d)
+                bits.append(w)
+                if len(many) >= len(ids):
+                    many[len(ids) - 1] = (w1, w2)
+        yield pa.record_batch({"doc_id_a": pa.array(left, pa.int64()), "doc_id_b": pa.array(right, pa.int64()), "tight": pa.array(tight, pa.bool_())})
 
 
 def batch_pairs(prints: DataFrame) -> DataFrame:
-    """doc_id_a < doc_id_b: posts of one batch with a common block and few differing bits.
+    """doc_id_a < doc_id_b, tight: posts of one batch with a common block and few differing bits.
 
     The first post of each block is met by a join, which takes near-copies of it out of large blocks without gathering
-    them; the others are compared with the heads of their block in one sorted pass.
+    them; the others are compared with the heads of their block in one sorted pass. A post that is tight to an earlier one
+    of a block may lack comparisons within that block.
     """
     rows = block_rows(prints)
     first = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bits1", "bits2")).alias("first")).where("n > 1")
     met = rows.join(first.select("block", "first"), "block").where("doc_id > first.doc_id")
     met = met.withColumn("apart", _apart(F.col("bits1"), F.col("bits2"), F.col("first.bits1"), F.col("first.bits2")))
-    with_first = met.where(F.col("apart") <= fp.MOST_DIFFERENT).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
+    with_first = met.where(F.col("apart") <= fp.MOST_DIFFERENT).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), (F.col("apart") <= TIGHT).alias("tight"))
     others = met.where(F.col("apart") > TIGHT).select("block", "doc_id", "bits1", "bits2")
-    with_heads = others.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_heads, "doc_id_a bigint, doc_id_b bigint")
-    return with_first.unionByName(with_heads).distinct()
+    with_heads = others.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_heads, "doc_id_a bigint, doc_id_b bigint, tight boolean")
+    return with_first.unionByName(with_heads).groupBy("doc_id_a", "doc_id_b").agg(F.max("tight").alias("tight"))
+
+
+def pairs_with(some: DataFrame, prints: DataFrame) -> DataFrame:
+    """doc_id_a < doc_id_b: the posts of ``some`` (prints) with every post that shares a block and is close."""
+    one = block_rows(some).select("block", F.col("doc_id").alias("one"), F.col("bits1").alias("one1"), F.col("bits2").alias("one2"))
+    met = block_rows(prints).join(one, "block").where(F.col("doc_id") != F.col("one"))
+    met = met.where(_apart(F.col("bits1"), F.col("bits2"), F.col("one1"), F.col("one2")) <= fp.MOST_DIFFERENT)
+    return met.select(F.least("doc_id", "one").alias("doc_id_a"), F.greatest("doc_id", "one").alias("doc_id_b")).distinct()
 
 
 def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame) -> DataFrame:
@@ -153,24 +175,43 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return best.select(F.col("best.doc_id_a").alias("doc_id_a"), "doc_id_b")
 
 
-def resolve(prints: DataFrame, words: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(repeats, accepted ids) within one batch, as if its posts were taken in order of doc_id.
+def settle(edges: DataFrame) -> DataFrame:
+    """doc_id_a, doc_id_b of the repeats when posts are taken in order of doc_id; ``edges`` are all pairs that fit.
 
-    In each round the posts close to no earlier head are accepted and their repeats settled; posts close to a post that is
-    not settled yet go to the next round, among themselves. The first open post is always settled, so rounds end.
+    Posts that are no later end of an open edge are accepted, which makes repeats of their partners and closes the
+    partners' edges. The first open post is always settled, so the rounds end; there are as many as repeats of repeats
+    follow one another.
     """
-    repeats, accepted, left = None, None, prints
-    while True:
-        pairs = written(batch_pairs(left))
-        waiting = written(pairs.select(F.col("doc_id_b").alias("doc_id")).distinct())
-        settled = left.select("doc_id").join(waiting, "doc_id", "left_anti")
-        accepted = settled if accepted is None else accepted.unionByName(settled)
-        if waiting.isEmpty():
-            return repeats, accepted
-        edges = verified(pairs, words, words).join(waiting.withColumnRenamed("doc_id", "doc_id_a"), "doc_id_a", "left_anti")
-        found = written(_nearest(edges))
+    repeats, left = None, edges
+    while not left.isEmpty():
+        later = left.select(F.col("doc_id_b").alias("doc_id_a")).distinct()
+        found = written(left.join(later, "doc_id_a", "left_anti").select("doc_id_b").distinct())
         repeats = found if repeats is None else repeats.unionByName(found)
-        left = written(left.join(waiting, "doc_id", "left_semi").join(found.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+        left = left.join(found, "doc_id_b", "left_anti").join(found.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti")
+        left = written(left)
+    if repeats is None:
+        return edges.select("doc_id_a", "doc_id_b")
+    return written(_nearest(edges.join(repeats.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti")))
+
+
+def resolve(prints: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id_a, doc_id_b of the repeats within one batch.
+
+    Posts tight to another were not compared with all. Those of them that turn out as accepted are compared with every
+    post that shares a block, and the batch is settled again, until no such post is left.
+    """
+    pairs = written(batch_pairs(prints))
+    edges = written(verified(pairs.select("doc_id_a", "doc_id_b"), words, words))
+    tight = written(pairs.where("tight").select(F.col("doc_id_b").alias("doc_id")).distinct())
+    while True:
+        repeats = settle(edges)
+        unsure = written(tight.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+        if unsure.isEmpty():
+            return repeats
+        some = prints.join(unsure, "doc_id", "left_semi")
+        more = pairs_with(some, prints).join(pairs, ["doc_id_a", "doc_id_b"], "left_anti")
+        edges = written(edges.unionByName(verified(written(more), words, words)).distinct())
+        tight = written(tight.join(unsure, "doc_id", "left_anti"))
 
 
 class Store:
@@ -206,16 +247,14 @@ class Store:
             pairs = written(history_pairs(prints, self._table("blocks")))
             repeats = written(_nearest(verified(pairs, self._table("words"), words)))
             prints = prints.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
-        more, accepted = resolve(prints, words)
-        repeats = more if repeats is None else repeats if more is None else repeats.unionByName(more)
+        more = resolve(prints, words)
+        repeats = more if repeats is None else repeats.select("doc_id_a", "doc_id_b").unionByName(more)
         if keep:
-            accepted = written(accepted)
+            accepted = written(prints.select("doc_id").join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
             at = f"{self.folder}/{{}}/{self.batches}"
             words.join(accepted, "doc_id", "left_semi").select("doc_id", "words").write.mode("overwrite").parquet(at.format("words"))
             block_rows(prints.join(accepted, "doc_id", "left_semi")).write.mode("overwrite").parquet(at.format("blocks"))
             self.batches += 1
-        if repeats is None:
-            return copies.select(F.col("first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
         of_copies = salted_join(
             copies, repeats.select(F.col("doc_id_b").alias("first"), "doc_id_a"), "first", [F.col("doc_id")],
             hot_keys(copies.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "first", "n"), "left",
