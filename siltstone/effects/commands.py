@@ -170,7 +170,7 @@ def prune(spark: SparkSession, target: str, dry_run: bool = False) -> dict:
                         store.delete_object(root, key)
                     except (OSError, ValueError):
                         failed.append(key)
-                yield pd.DataFrame({"object_key": failed})
+                yield pd.DataFrame({"object_key": pd.Series(failed, dtype=object)})
 
         failed = plan.select("object_key").mapInPandas(act, "object_key string").cache()
         out["failed"] = failed.count()
