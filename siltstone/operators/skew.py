@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,38 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, share: int = HOT_SHARE) -> DataFrame:
-    """(key, salts) of the keys that hold 1/share of the rows or more, at most ``share`` of them whatever the input.
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(counts: DataFrame, key: str | list[str], n: str, share: int = HOT_SHARE) -> DataFrame:
+    """The key columns and ``salts`` of the keys that hold 1/share of the rows or more, at most ``share`` of them.
 
     ``counts`` has one row per key. A key gets as many salts as shares it holds, so no salted part exceeds about 1/share
     of the rows.
     """
     total = counts.groupBy().agg(F.sum(n).alias("total")).scalar()
-    return counts.where(F.col(n) * share >= total).select(F.col(key), F.ceil(F.col(n) * share / total).cast("int").alias("salts"))
+    return counts.where(F.col(n) * share >= total).select(*_names(key), F.ceil(F.col(n) * share / total).cast("int").alias("salts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, by: list[Column], hot: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], by: list[Column], hot: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` join ``right`` on ``key``, the left rows of a hot key spread over its salts by the hash of ``by``.
 
     Right rows of hot keys are repeated once per salt; all others meet once. ``hot`` comes from ``hot_keys`` and is
     broadcast: its size is bounded by the share. Left joins keep left rows with a null key.
     """
-    h = F.broadcast(hot.select(F.col(key).alias("_hot"), F.col("salts").alias("_salts")))
-    l = left.join(h, left[key] == F.col("_hot"), "left")
-    l = l.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts")))).drop("_hot", "_salts")
-    r = right.join(h, right[key] == F.col("_hot"), "left")
-    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hot", "_salts")
-    l = l.withColumn("_salt", F.col("_salt").cast("int"))
-    return l.join(r, [key, "_salt"], how).drop("_salt")
+    names = _names(key)
+    h = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in names], F.col("salts").alias("_salts")))
+    extra = [*[f"_hot_{k}" for k in names], "_salts"]
+
+    def marked(df: DataFrame) -> DataFrame:
+        met = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in names])
+        return df.join(h, met, "left")
+
+    spread = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts"))).cast("int")
+    l = marked(left).withColumn("_salt", spread).drop(*extra)
+    r = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop(*extra)
+    return l.join(r, [*names, "_salt"], how).drop("_salt")
 
 
 def key_states(rows: DataFrame, key: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:

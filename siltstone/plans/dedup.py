@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.files import unchanged
 from siltstone.functions.rows import beside
+from siltstone.operators.skew import hot_keys, salted_join
 
 
 def size_candidates(files: DataFrame) -> DataFrame:
@@ -34,10 +35,11 @@ def dedup_stats(groups: DataFrame, scanned: DataFrame) -> DataFrame:
 def link_plan(files: DataFrame, groups: DataFrame) -> DataFrame:
     """rel_path, representative of every file to link. Files on the representative's inode (dev, ino) need none.
 
-    One row per file: the group's files are never gathered.
+    One row per file: the group's files are never gathered, and those of a large group meet it in salted parts.
     """
     g = groups.select("size", "hash", "representative")
-    j = files.join(g, ["size", "hash"]).where(F.col("rel_path") != F.col("representative"))
+    hot = hot_keys(groups, ["size", "hash"], "n_files")
+    j = salted_join(files, g, ["size", "hash"], [F.col("rel_path")], hot).where(F.col("rel_path") != F.col("representative"))
     if {"dev", "ino"} <= set(files.columns):
         head = files.select(F.col("rel_path").alias("representative"), F.col("dev").alias("r_dev"), F.col("ino").alias("r_ino"))
         j = j.join(head, "representative").where("not (dev <=> r_dev and ino <=> r_ino) or ino is null")

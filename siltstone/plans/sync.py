@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.files import mtime_close
 from siltstone.functions.rows import beside
+from siltstone.operators.skew import hot_keys, salted_join
 
 
 def sync_plan(manifest: DataFrame, index: DataFrame, fast_skip: bool = True) -> DataFrame:
@@ -43,12 +44,13 @@ def union_sources(sources: list[tuple[DataFrame, str]]) -> DataFrame:
 def seen_before(plan: DataFrame, objects: DataFrame) -> DataFrame:
     """Copies of the plan with ``known``: whether their object exists already or an earlier copy (by rel_path) brings it.
 
-    The first copy of a key is found by a map-side combined minimum, so a key held by most rows is no hot window.
+    The first copy of a key is a map-side combined minimum, and the copies of a key that holds many meet it in salted
+    parts, so there is no hot window or partition.
     """
     copies = plan.where("action = 'copy' and object_key is not null")
-    first = copies.groupBy("object_key").agg(F.min("rel_path").alias("first_path"))
+    first = copies.groupBy("object_key").agg(F.count(F.lit(1)).alias("n"), F.min("rel_path").alias("first_path"))
     there = first.join(objects.select("object_key").distinct().withColumn("there", F.lit(True)), "object_key", "left")
-    j = copies.join(there, "object_key")
+    j = salted_join(copies, there.drop("n"), "object_key", [F.col("rel_path")], hot_keys(first, "object_key", "n"))
     return j.select(*copies.columns, (F.coalesce("there", F.lit(False)) | (F.col("rel_path") != F.col("first_path"))).alias("known"))
 
 
@@ -124,6 +126,7 @@ def conflicts(plan: DataFrame, target: DataFrame, literal: bool = False) -> Data
 
 
 def last_of_key(tasks: DataFrame) -> DataFrame:
-    """Tasks with ``is_last``: the last one of its object key by seq, after which a temporary object can go."""
-    w = Window.partitionBy("object_key").orderBy(F.col("seq").desc())
-    return tasks.withColumn("is_last", F.row_number().over(w) == 1)
+    """Tasks with ``is_last``: whether seq is the highest of the object key, after which a temporary object can go."""
+    last = tasks.where("object_key is not null").groupBy("object_key").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+    j = salted_join(tasks, last.drop("n"), "object_key", [F.col("seq")], hot_keys(last, "object_key", "n"), "left")
+    return j.select(*tasks.columns, F.coalesce(F.col("seq") == F.col("last_seq"), F.lit(False)).alias("is_last"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.files import escapes_root
 from siltstone.functions.rows import beside
+from siltstone.operators.skew import hot_keys, salted_join
 
 
 def status(files: DataFrame, objects: DataFrame) -> DataFrame:
@@ -45,11 +46,13 @@ def reindex_files(target: DataFrame, objects: DataFrame, metadata_dir: str = ".s
     """rel_path, size, mtime_ns, object_key, linked of the files on a target.
 
     A file on an object's inode (dev, ino) has its key without being read; any other has the key of its hash. The
-    engine's own folder at the top is left out. If several objects share an inode the smallest key counts.
+    engine's own folder at the top is left out. If several objects share an inode the smallest key counts; an object with very many links meets them in salted parts.
     """
     own = (F.col("rel_path") == metadata_dir) | F.col("rel_path").startswith(f"{metadata_dir}/")
     o = objects.where("ino is not null").groupBy("dev", "ino").agg(F.min("object_key").alias("inode_key"))
-    j = target.where(~own).join(o, ["dev", "ino"], "left")
+    files = target.where(~own)
+    links = files.where("ino is not null").groupBy("dev", "ino").agg(F.count(F.lit(1)).alias("n"))
+    j = salted_join(files, o, ["dev", "ino"], [F.col("rel_path")], hot_keys(links, ["dev", "ino"], "n"), "left")
     key = F.coalesce("inode_key", "object_key")
     return j.select("rel_path", "size", "mtime_ns", key.alias("object_key"), F.col("inode_key").isNotNull().alias("linked"))
 

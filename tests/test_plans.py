@@ -144,3 +144,14 @@ def test_reindex(spark):
     files = upkeep.reindex_files(t, objects)
     assert rows(files.select("rel_path", "object_key", "linked")) == [("a", "k1", True), ("b", "k2", False), ("c", None, False)]
     assert rows(upkeep.reindex_objects(files).select("object_key", "ref_count")) == [("k1", 1), ("k2", 1)]
+
+
+def test_last_of_key(spark):
+    t = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), (None, 9)], "object_key string, seq long")
+    assert rows(sync.last_of_key(t)) == [("a", 1, False), ("a", 3, True), ("b", 2, True), (None, 9, False)]
+
+
+def test_seen_before(spark):
+    plan = spark.createDataFrame([(f"{i:02}", 1, 0, "hot", None, "copy") for i in range(40)] + [("x", 1, 0, "old", None, "copy")], M + ", old_object_key string, action string")
+    known = {r["rel_path"]: r["known"] for r in sync.seen_before(plan, spark.createDataFrame([("old",)], "object_key string")).collect()}
+    assert known == {f"{i:02}": i > 0 for i in range(40)} | {"x": True}
