@@ -23,6 +23,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters after a piece that can still change it.
 PIECE_LOOKAHEAD = 2
+#: An unfinished piece longer than this is a run of one kind of characters (contractions are shorter).
+SURE = 8
 #: Characters taken in at a time; an unfinished piece longer than this is encoded as it comes.
 CHUNK = 1 << 16
 _CACHE = 100_000
@@ -166,7 +168,7 @@ class TextEncoder:
             ids.extend(pieces.get(w) or piece(w))
             at = end
         self.rest = buffer[at:]
-        if not last and len(self.rest) > self.chunk:
+        if not last and len(self.rest) > max(self.chunk, SURE):
             head = self.rest[1] if self.rest[0] == " " and not self.rest[1].isspace() else self.rest[0]
             self.run = next(r for r in _RUNS if r.match(head))
             cut = len(self.rest) - PIECE_LOOKAHEAD

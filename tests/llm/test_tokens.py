@@ -106,8 +106,12 @@ def test_packed(spark):
         for r in mine:
             fill[r["container_no"]] = fill.get(r["container_no"], 0) + r["n_tokens"]
             of_doc.setdefault(r["doc_id"], []).append((r["piece_no"], r["n_tokens"]))
-        total = sum(n or 0 for _, n in data)
-        assert max(fill.values()) <= capacity and len(fill) == max(fill) == -(-total // capacity)
+        sizes: dict[int, int] = {}
+        for r in mine:
+            if r["n_tokens"]:
+                sizes[r["n_tokens"]] = sizes.get(r["n_tokens"], 0) + 1
+        assert max(fill.values()) <= capacity and len(fill) == max(fill)
+        assert len(fill) <= sum(t for _, t in packing.best_fit(sizes, capacity))
         for i, n in data:
             pieces = sorted(of_doc[i])
             assert sum(x for _, x in pieces) == (n or 0) and len(pieces) == max(1, -(-(n or 0) // capacity))
