@@ -27,7 +27,7 @@ PART = 4
 TIGHT = 20
 
 WORDS = "doc_id bigint, words string, digest binary"
-PRINTS = "doc_id bigint, bits1 bigint, bits2 bigint, blocks array<bigint>"
+PRINTS = "doc_id bigint, n_words int, bits1 bigint, bits2 bigint, blocks array<bigint>"
 _WORDS_SQL = "doc_id bigint, words string"
 
 
@@ -60,9 +60,11 @@ def fingerprinted(words: DataFrame, frequent: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = fp.Fingerprinter(known.value)
         for b in batches:
-            made = [make(w.split(" ")) for w in b.column(1).to_pylist()]
+            posts = [w.split(" ") for w in b.column(1).to_pylist()]
+            made = [make(w) for w in posts]
             yield pa.record_batch({
                 "doc_id": b.column(0),
+                "n_words": pa.array([len(w) for w in posts], pa.int32()),
                 "bits1": pa.array([m[1] for m in made], pa.int64()),
                 "bits2": pa.array([m[2] for m in made], pa.int64()),
                 "blocks": pa.array([m[0] for m in made], pa.list_(pa.int64())),
@@ -73,18 +75,24 @@ def fingerprinted(words: DataFrame, frequent: dict[str, float]) -> DataFrame:
 
 def block_rows(prints: DataFrame) -> DataFrame:
     """The rotated tables in one: a row per post and block; the block's number is part of its key."""
-    return prints.select(F.explode("blocks").alias("block"), "doc_id", "bits1", "bits2")
+    return prints.select(F.explode("blocks").alias("block"), "doc_id", "bits1", "bits2", "n_words")
 
 
 def _apart(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
 
 
+def _fit(n: Column, m: Column) -> Column:
+    """Whether the lengths alone allow a repeat: the distance is at least their difference."""
+    return F.abs(n - m) * PART <= F.greatest(n, m)
+
+
 def history_pairs(prints: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id_a, doc_id_b: new posts and accepted posts with a common block and few differing bits."""
-    old = blocks.select("block", F.col("doc_id").alias("doc_id_a"), F.col("bits1").alias("old1"), F.col("bits2").alias("old2"))
+    old = blocks.select("block", F.col("doc_id").alias("doc_id_a"), F.col("bits1").alias("old1"), F.col("bits2").alias("old2"), F.col("n_words").alias("old_n"))
     met = block_rows(prints).withColumnRenamed("doc_id", "doc_id_b").join(old, "block")
     close = _apart(F.col("bits1"), F.col("bits2"), F.col("old1"), F.col("old2")) <= fp.MOST_DIFFERENT
+    close &= _fit(F.col("n_words"), F.col("old_n"))
     return met.where(close & (F.col("doc_id_a") < F.col("doc_id_b"))).select("doc_id_a", "doc_id_b").distinct()
 
 
@@ -93,37 +101,39 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A post is a head unless it is tightly close to one, so near-copies do not pile up: a block's memory is its heads.
     """
-    block, ids, bits, many = None, [], [], np.zeros((0, 2), dtype=np.uint64)
+    block, ids, bits, sizes = None, [], [], []
+    many, long = np.zeros((0, 2), dtype=np.uint64), np.zeros(0, dtype=np.int64)
     for b in batches:
         left, right, tight = [], [], []
         both = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).view(np.uint64)
-        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), both[:, 0].tolist(), both[:, 1].tolist(), strict=True)
-        for k, d, w1, w2 in rows:
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), both[:, 0].tolist(), both[:, 1].tolist(), b.column(4).to_pylist(), strict=True)
+        for k, d, w1, w2, n in rows:
             w = w1 << 64 | w2
             if k != block:
-                block, ids, bits, many = k, [d], [w], many[:0]
+                block, ids, bits, sizes = k, [d], [w], [n]
+                many, long = many[:0], long[:0]
                 continue
-            collapsed = False
-            if len(ids) < 64:
-                near = [(i, n) for i, v in zip(ids, bits, strict=True) if (n := (v ^ w).bit_count()) <= fp.MOST_DIFFERENT]
+            heads = len(ids)
+            if heads < 64:
+                near = [(ids[i], c) for i, v in enumerate(bits) if abs(n - sizes[i]) * PART <= max(n, sizes[i]) and (c := (v ^ w).bit_count()) <= fp.MOST_DIFFERENT]
             else:
-                n_heads = len(ids)
-                if len(many) < n_heads:  # grown by doubling, filled from the heads it lacks
-                    fresh = np.array([[v >> 64, v & (1 << 64) - 1] for v in bits], dtype=np.uint64)
-                    many = np.zeros((2 * n_heads, 2), dtype=np.uint64)
-                    many[:n_heads] = fresh
-                apart = np.bitwise_count(many[:n_heads] ^ np.array([w1, w2], dtype=np.uint64)).sum(axis=1)
-                near = [(ids[i], int(apart[i])) for i in np.flatnonzero(apart <= fp.MOST_DIFFERENT)]
-            for i, n in near:
+                if len(many) < heads:  # room for as many again
+                    many, long = np.zeros((2 * heads, 2), dtype=np.uint64), np.zeros(2 * heads, dtype=np.int64)
+                    many[:heads] = [[v >> 64, v & (1 << 64) - 1] for v in bits]
+                    long[:heads] = sizes
+                apart = np.bitwise_count(many[:heads] ^ np.array([w1, w2], dtype=np.uint64)).sum(axis=1)
+                fits = np.abs(long[:heads] - n) * PART <= np.maximum(long[:heads], n)
+                near = [(ids[i], int(apart[i])) for i in np.flatnonzero(fits & (apart <= fp.MOST_DIFFERENT))]
+            for i, c in near:
                 left.append(i)
                 right.append(d)
-                tight.append(n <= TIGHT)
-                collapsed |= n <= TIGHT
-            if not collapsed:
+                tight.append(c <= TIGHT)
+            if not any(c <= TIGHT for _, c in near):
                 ids.append(d)
                 bits.append(w)
-                if len(many) >= len(ids):
-                    many[len(ids) - 1] = (w1, w2)
+                sizes.append(n)
+                if len(many) > heads:
+                    many[heads], long[heads] = (w1, w2), n
         yield pa.record_batch({"doc_id_a": pa.array(left, pa.int64()), "doc_id_b": pa.array(right, pa.int64()), "tight": pa.array(tight, pa.bool_())})
 
 
@@ -131,23 +141,24 @@ def batch_pairs(prints: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b, tight: posts of one batch with a common block and few differing bits.
 
     The first post of each block is met by a join, which takes near-copies of it out of large blocks without gathering
-    them; the others are compared with the heads of their block in one sorted pass. A post that is tight to an earlier one
+    them; the others of blocks with more than two are compared with the heads of their block in one sorted pass. A post that is tight to an earlier one
     of a block may lack comparisons within that block.
     """
     rows = block_rows(prints)
-    first = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bits1", "bits2")).alias("first")).where("n > 1")
-    met = rows.join(first.select("block", "first"), "block").where("doc_id > first.doc_id")
+    first = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bits1", "bits2", "n_words")).alias("first")).where("n > 1")
+    met = rows.join(first, "block").where("doc_id > first.doc_id")
     met = met.withColumn("apart", _apart(F.col("bits1"), F.col("bits2"), F.col("first.bits1"), F.col("first.bits2")))
-    with_first = met.where(F.col("apart") <= fp.MOST_DIFFERENT).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), (F.col("apart") <= TIGHT).alias("tight"))
-    others = met.where(F.col("apart") > TIGHT).select("block", "doc_id", "bits1", "bits2")
+    met = met.withColumn("fits", _fit(F.col("n_words"), F.col("first.n_words")))
+    with_first = met.where(F.col("fits") & (F.col("apart") <= fp.MOST_DIFFERENT)).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), (F.col("apart") <= TIGHT).alias("tight"))
+    others = met.where((~F.col("fits") | (F.col("apart") > TIGHT)) & (F.col("n") > 2)).select("block", "doc_id", "bits1", "bits2", "n_words")
     with_heads = others.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_heads, "doc_id_a bigint, doc_id_b bigint, tight boolean")
     return with_first.unionByName(with_heads).groupBy("doc_id_a", "doc_id_b").agg(F.max("tight").alias("tight"))
 
 
 def pairs_with(some: DataFrame, prints: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: the posts of ``some`` (prints) with every post that shares a block and is close."""
-    one = block_rows(some).select("block", F.col("doc_id").alias("one"), F.col("bits1").alias("one1"), F.col("bits2").alias("one2"))
-    met = block_rows(prints).join(one, "block").where(F.col("doc_id") != F.col("one"))
+    one = block_rows(some).select("block", F.col("doc_id").alias("one"), F.col("bits1").alias("one1"), F.col("bits2").alias("one2"), F.col("n_words").alias("one_n"))
+    met = block_rows(prints).join(one, "block").where((F.col("doc_id") != F.col("one")) & _fit(F.col("n_words"), F.col("one_n")))
     met = met.where(_apart(F.col("bits1"), F.col("bits2"), F.col("one1"), F.col("one2")) <= fp.MOST_DIFFERENT)
     return met.select(F.least("doc_id", "one").alias("doc_id_a"), F.greatest("doc_id", "one").alias("doc_id_b")).distinct()
 

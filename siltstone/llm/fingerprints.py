@@ -16,13 +16,22 @@ import xxhash
 #: Samples in a block, blocks (one rotated table each), and bits compared.
 SAMPLES, BLOCKS, BITS = 4, 32, 128
 #: Two posts are compared word by word when at most this many of the BITS differ (random posts differ in about half).
-MOST_DIFFERENT = 48
+MOST_DIFFERENT = 42
 #: Words in fewer posts than 1/RARE_PART count as rare and weigh most; the rest weigh less the more frequent they are.
 #: At most RARE_PART times the mean number of words of a post can be frequent. The least weight is high enough that
 #: near-copies of one post still meet when they are so many that all its words are frequent.
 RARE_PART, LEAST_WEIGHT = 2000, 0.4
 
 _SEEN_WORDS = 30_000
+_GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """A well spread 64-bit number for each number."""
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * _MIX1
+        z = (z ^ (z >> np.uint64(27))) * _MIX2
+        return z ^ (z >> np.uint64(31))
 
 
 class Fingerprinter:
@@ -30,20 +39,21 @@ class Fingerprinter:
         """``frequent``: the part of all posts that has the word, for the frequent words."""
         scale = math.log(RARE_PART)
         self.weights = {w: max(LEAST_WEIGHT, min(1.0, -math.log(p) / scale)) for w, p in frequent.items()}
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, tuple[np.ndarray, int]] = {}
+        self.places = np.arange(SAMPLES * BLOCKS)
+        self.steps = np.arange(1, SAMPLES * BLOCKS + 1, dtype=np.uint64) * _GOLD
+        self.position = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
+        self.block = _mixed(np.arange(BLOCKS, dtype=np.uint64) + np.uint64(1 << 32))
 
-    def _order(self, word: str) -> np.ndarray:
-        """The word's place in each random order: exponential variates with the weight as rate."""
+    def _word(self, word: str) -> tuple[np.ndarray, int]:
+        """The word's place in each random order (exponential variates with the weight as rate) and its code."""
         at = self.seen.get(word)
         if at is None:
-            seed = xxhash.xxh3_64_intdigest(word.encode())
+            data = word.encode()
             with np.errstate(over="ignore"):
-                z = np.uint64(seed) + np.arange(1, SAMPLES * BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                z ^= z >> np.uint64(31)
+                z = _mixed(np.uint64(xxhash.xxh3_64_intdigest(data)) + self.steps)
             u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-            at = (-np.log(u) / self.weights.get(word, 1.0)).astype(np.float32)
+            at = (-np.log(u) / self.weights.get(word, 1.0)).astype(np.float32), xxhash.xxh3_64_intdigest(data, 1)
             if len(self.seen) >= _SEEN_WORDS:
                 self.seen.clear()
             self.seen[word] = at
@@ -52,21 +62,21 @@ class Fingerprinter:
     def __call__(self, words: list[str]) -> tuple[list[int], int, int]:
         """(block keys, first 64 bits, last 64 bits), all as signed 64-bit numbers."""
         own = sorted(set(words))
-        best = np.full(SAMPLES * BLOCKS, np.inf, dtype=np.float32)
-        first = np.zeros(SAMPLES * BLOCKS, dtype=np.uint64)
+        best, first = None, None
         for at in range(0, len(own), 256):  # long posts do not need one large matrix
-            part = own[at : at + 256]
-            order = np.stack([self._order(w) for w in part])
+            part = [self._word(w) for w in own[at : at + 256]]
+            order = np.stack([p[0] for p in part])
             i = order.argmin(axis=0)
-            low = order[i, np.arange(order.shape[1])]
-            codes = np.array([xxhash.xxh3_64_intdigest(w.encode(), 1) for w in part], dtype=np.uint64)
-            better = low < best
-            best[better], first[better] = low[better], codes[i][better]
-        blocks = [
-            int.from_bytes(xxhash.xxh3_64_digest(first[k * SAMPLES : (k + 1) * SAMPLES].tobytes(), k), "big", signed=True) for k in range(BLOCKS)
-        ]
-        bits = np.packbits((first[:BITS] & np.uint64(1)).astype(np.uint8)).tobytes()
-        return blocks, int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:16], "big", signed=True)
+            low, codes = order[i, self.places], np.array([p[1] for p in part], dtype=np.uint64)[i]
+            if best is None:
+                best, first = low, codes
+            else:
+                better = low < best
+                best[better], first[better] = low[better], codes[better]
+        with np.errstate(over="ignore"):
+            blocks = _mixed((first.reshape(BLOCKS, SAMPLES) * self.position).sum(axis=1, dtype=np.uint64) + self.block)
+        bits = np.packbits((first[:BITS] & np.uint64(1)).astype(np.uint8)).view(">i8")
+        return blocks.view(np.int64).tolist(), int(bits[0]), int(bits[1])
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int | None:
