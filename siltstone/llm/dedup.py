@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import fingerprints as fp
 from siltstone.llm.owntext import own_words
 from siltstone.operators.skew import hot_keys, salted_join
-from siltstone.session import new_folder, written
+from siltstone.session import names_in, new_file, new_folder, written
 
 #: Posts with fewer own words are never judged.
 LEAST_WORDS = 12
@@ -226,14 +226,22 @@ def resolve(prints: DataFrame, words: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Accepted posts in a folder: ``frequent`` (fixed at the first batch), ``words`` and ``blocks`` (one part a batch)."""
+    """Accepted posts in a folder: ``frequent`` (fixed at the first batch), ``words`` and ``blocks`` (one part a batch).
+
+    A batch counts from its empty marker in ``committed`` on, which is made after both of its parts. A store opened on a
+    folder goes on from the batches committed there; parts without a marker are of a delivery that failed and are
+    written anew. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or new_folder(spark)
-        self.batches = 0
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.folder}/{name}/{k}" for k in range(self.batches)])
+    def committed(self) -> list[int]:
+        """Numbers of the batches in the folder, read anew each time."""
+        return sorted(int(name) for name in names_in(self.spark, f"{self.folder}/committed") if name.isdigit())
+
+    def _table(self, name: str, batches: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/{name}/{k}" for k in batches])
 
     def append(self, posts: DataFrame, keep: bool = True) -> DataFrame:
         """doc_id_a, doc_id_b for every post b of the batch that repeats an accepted post a; the rest is accepted.
@@ -249,23 +257,27 @@ class Store:
         copies = salted_join(words.select("doc_id", "digest"), groups.select("digest", "first"), "digest", [F.col("doc_id")], hot)
         copies = written(copies.where("doc_id <> first").select("doc_id", "first"))
         own = words.join(copies, "doc_id", "left_anti")
-        if not self.batches:
-            frequent_words(words).write.mode("overwrite").parquet(f"{self.folder}/frequent")
-        frequent = {r["word"]: r["part"] for r in self.spark.read.parquet(f"{self.folder}/frequent").collect()}
+        batches = self.committed()
+        weighed = frequent_words(words) if not batches else self.spark.read.parquet(f"{self.folder}/frequent")
+        if keep and not batches:  # nothing committed was fingerprinted with what a failed first batch may have left
+            weighed = written(weighed, f"{self.folder}/frequent")
+        frequent = {r["word"]: r["part"] for r in weighed.collect()}
         prints = written(fingerprinted(own, frequent))
         repeats = None
-        if self.batches:
-            pairs = written(history_pairs(prints, self._table("blocks")))
-            repeats = written(_nearest(verified(pairs, self._table("words"), words)))
+        if batches:
+            pairs = written(history_pairs(prints, self._table("blocks", batches)))
+            repeats = written(_nearest(verified(pairs, self._table("words", batches), words)))
             prints = prints.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
         more = resolve(prints, words)
         repeats = more if repeats is None else repeats.select("doc_id_a", "doc_id_b").unionByName(more)
         if keep:
             accepted = written(prints.select("doc_id").join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
-            at = f"{self.folder}/{{}}/{self.batches}"
+            number = batches[-1] + 1 if batches else 0
+            at = f"{self.folder}/{{}}/{number}"
             words.join(accepted, "doc_id", "left_semi").select("doc_id", "words").write.mode("overwrite").parquet(at.format("words"))
             block_rows(prints.join(accepted, "doc_id", "left_semi")).write.mode("overwrite").parquet(at.format("blocks"))
-            self.batches += 1
+            if not new_file(self.spark, at.format("committed")):
+                raise RuntimeError(f"batch {number} of {self.folder} was committed by another writer")
         of_copies = salted_join(
             copies, repeats.select(F.col("doc_id_b").alias("first"), "doc_id_a"), "first", [F.col("doc_id")],
             hot_keys(copies.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "first", "n"), "left",

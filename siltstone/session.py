@@ -42,6 +42,21 @@ def drop_folder(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def names_in(spark: SparkSession, at: str) -> list[str]:
+    """Names of the files in a folder; none where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def new_file(spark: SparkSession, at: str) -> bool:
+    """Makes an empty file (and its folders); False where it is there already."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    return fs.createNewFile(path)
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """``df`` written as a table and read back: later steps start from files, not from the lineage."""
     spark = df.sparkSession

@@ -108,6 +108,28 @@ def test_batches_equal_brute_force_and_one_delivery(spark):
     assert dedup.Store(spark).append(df.where("false")).count() == 0
 
 
+def test_store_is_opened_again(spark, tmp_path):
+    posts = corpus()
+    want = brute(posts)
+    df = spark.createDataFrame(posts, POSTS)
+    folder, parts = f"file://{tmp_path}/store", {}
+    for low, high in ((0, 200), (200, 300), (300, 10**9)):
+        store = dedup.Store(spark, folder)
+        store.append(df.where("doc_id < 50"), keep=False)
+        before = {k: rows(spark.read.parquet(f"{folder}/{k}/*")) for k in ("words", "blocks")} if low else {}
+        frequent = rows(spark.read.parquet(f"{folder}/frequent")) if low else []
+        if low == 200:  # what a failed delivery leaves
+            df.selectExpr("doc_id", "text AS words").write.parquet(f"{folder}/words/1")
+        got = store.append(df.where(f"doc_id >= {low} and doc_id < {high}")).collect()
+        parts |= {r["doc_id_b"]: r["doc_id_a"] for r in got}
+        for k, held in before.items():
+            assert set(held) < set(rows(spark.read.parquet(f"{folder}/{k}/*")))
+        assert not low or rows(spark.read.parquet(f"{folder}/frequent")) == frequent
+    assert parts == want
+    assert dedup.Store(spark, folder).committed() == [0, 1, 2]
+    assert sorted(r[0] for r in rows(spark.read.parquet(f"{folder}/words/*"))) == sorted(i for i, t, a in posts if i not in want and len(own_words(t, a)) >= dedup.LEAST_WORDS)
+
+
 def test_many_copies_and_near_copies_of_one_post(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(60)]
