@@ -263,15 +263,21 @@ class Store:
             weighed = written(weighed, f"{self.folder}/frequent")
         frequent = {r["word"]: r["part"] for r in weighed.collect()}
         prints = written(fingerprinted(own, frequent))
-        repeats = None
-        if batches:
+        if not batches:
+            repeats = resolve(prints, words)
+            accepted = prints.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
+        else:
             pairs = written(history_pairs(prints, self._table("blocks", batches)))
-            repeats = written(_nearest(verified(pairs, self._table("words", batches), words)))
-            prints = prints.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
-        more = resolve(prints, words)
-        repeats = more if repeats is None else repeats.select("doc_id_a", "doc_id_b").unionByName(more)
+            edges = written(verified(pairs, self._table("words", batches), words))
+            met = written(edges.select(F.col("doc_id_b").alias("doc_id")).distinct())
+            fresh = prints.join(met, "doc_id", "left_anti")
+            more = resolve(fresh, words)
+            accepted = written(fresh.join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+            # a post that repeats history may be nearer to one that its own batch brought
+            pairs = written(history_pairs(prints.join(met, "doc_id", "left_semi"), block_rows(accepted)))
+            repeats = written(_nearest(edges.unionByName(verified(pairs, words, words))).unionByName(more))
         if keep:
-            accepted = written(prints.select("doc_id").join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+            accepted = written(accepted.select("doc_id"))
             number = batches[-1] + 1 if batches else 0
             at = f"{self.folder}/{{}}/{number}"
             words.join(accepted, "doc_id", "left_semi").select("doc_id", "words").write.mode("overwrite").parquet(at.format("words"))
@@ -283,4 +289,4 @@ class Store:
             hot_keys(copies.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "first", "n"), "left",
         )
         of_copies = of_copies.select(F.coalesce("doc_id_a", "first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
-        return repeats.select("doc_id_a", "doc_id_b").unionByName(of_copies)
+        return repeats.unionByName(of_copies)

@@ -12,15 +12,28 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _last_batch(docs: DataFrame) -> tuple[int | None, int | None]:
+    """The last batch_no and its first doc_id (None without any)."""
+    return tuple(docs.groupBy("batch_no").agg(F.min("doc_id").alias("cut")).where("batch_no is not null and cut is not null").agg(F.max(F.struct("batch_no", "cut")).alias("last")).select("last.*").first())
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """All batches as one delivery to an empty store."""
-    return dedup.Store(spark).append(_t(spark, sf, "documents"), keep=False)
+    """All repeats, from two deliveries to one store: the posts before the last batch, then the rest against them.
+
+    The cut is the last batch's first doc_id, so that posts are taken in order of doc_id whatever their batch_no. Without
+    any batch_no all posts are one delivery.
+    """
+    docs, store = _t(spark, sf, "documents"), dedup.Store(spark)
+    _, cut = _last_batch(docs)
+    if cut is None:
+        return store.append(docs, keep=False)
+    return store.append(docs.where(F.col("doc_id") < cut)).unionByName(store.append(docs.where(F.col("doc_id") >= cut), keep=False))
 
 
 def p5_last_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Only the last batch, against a store that took in the earlier ones."""
     docs, store = _t(spark, sf, "documents"), dedup.Store(spark)
-    last = docs.agg(F.max("batch_no")).scalar()
+    last, _ = _last_batch(docs)
     store.append(docs.where(F.col("batch_no") < last))
     return store.append(docs.where(F.col("batch_no") == last), keep=False)
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from siltstone.llm import dedup
 from siltstone.llm import fingerprints as fp
+from siltstone.llm import problems
 from siltstone.llm import subjects as sub
 from siltstone.llm.owntext import own_text, own_words, sentences_of
 from tests.conftest import rows
@@ -130,6 +131,29 @@ def test_store_is_opened_again(spark, tmp_path):
     assert sorted(r[0] for r in rows(spark.read.parquet(f"{folder}/words/*"))) == sorted(i for i, t, a in posts if i not in want and len(own_words(t, a)) >= dedup.LEAST_WORDS)
 
 
+def documents(spark, folder, posts):
+    df = spark.createDataFrame(posts, POSTS + ", batch_no int")
+    df.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_queries_look_up_stored_batches(spark, tmp_path, monkeypatch):
+    posts = corpus()
+    base = [f"v{i}" for i in range(40)]
+    near = [f"z{i}" for i in range(7)] + base[7:]
+    # 9,002 repeats 9,000 of an earlier batch, but is nearer to 9,001 of its own
+    posts += [(9_000, " ".join(base), None), (9_001, " ".join([f"u{i}" for i in range(11)] + base[11:]), None), (9_002, " ".join([f"u{i}" for i in range(9)] + base[9:]), None), (9_003, " ".join(near), None)]
+    want = brute(posts)
+    assert want[9_002] == 9_001 and want[9_003] == 9_000
+    sf = documents(spark, tmp_path, [(*p, 3 if p[0] > 9_000 else min(p[0] // 150, 2)) for p in posts])
+    looked_up = []
+    pairs = dedup.history_pairs
+    monkeypatch.setattr(dedup, "history_pairs", lambda *a: looked_up.append(1) or pairs(*a))
+    assert {r["doc_id_b"]: r["doc_id_a"] for r in problems.p5_found(spark, sf).collect()} == want
+    assert looked_up
+    assert {r["doc_id_b"]: r["doc_id_a"] for r in problems.p5_last_batch(spark, sf).collect()} == {b: a for b, a in want.items() if b > 9_000}
+
+
 def test_many_copies_and_near_copies_of_one_post(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(60)]
