@@ -31,11 +31,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_last_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the last batch, against a store that took in the earlier ones."""
+    """Only the last batch, against a store that took in the earlier ones.
+
+    A post without batch_no counts to the last batch from that batch's first doc_id on, and to the earlier ones below;
+    without any batch_no all posts are the last batch.
+    """
     docs, store = _t(spark, sf, "documents"), dedup.Store(spark)
-    last, _ = _last_batch(docs)
-    store.append(docs.where(F.col("batch_no") < last))
-    return store.append(docs.where(F.col("batch_no") == last), keep=False)
+    last, cut = _last_batch(docs)
+    if cut is None:
+        return store.append(docs, keep=False)
+    in_last = F.coalesce(F.col("batch_no") == last, F.col("doc_id") >= cut)
+    store.append(docs.where(~in_last))
+    return store.append(docs.where(in_last), keep=False)
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -154,6 +154,15 @@ def test_queries_look_up_stored_batches(spark, tmp_path, monkeypatch):
     assert {r["doc_id_b"]: r["doc_id_a"] for r in problems.p5_last_batch(spark, sf).collect()} == {b: a for b, a in want.items() if b > 9_000}
 
 
+def test_posts_without_batch_no(spark, tmp_path):
+    words = [f"w{i}" for i in range(20)]
+    text = [" ".join(words), " ".join(["x", *words]), " ".join(words[::-1]), " ".join([*words[::-1], "y"])]
+    posts = [(1, text[0], None, None), (2, text[2], None, 0), (3, text[1], None, 0), (4, "short", None, 1), (5, text[3], None, None), (6, text[0], None, 1)]
+    assert rows(problems.p5_last_batch(spark, documents(spark, tmp_path / "some", posts))) == [(1, 6), (2, 5)]
+    none = documents(spark, tmp_path / "none", [(*p[:3], None) for p in posts])
+    assert rows(problems.p5_last_batch(spark, none)) == rows(problems.p5_found(spark, none)) == [(1, 3), (1, 6), (2, 5)]
+
+
 def test_many_copies_and_near_copies_of_one_post(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(60)]
