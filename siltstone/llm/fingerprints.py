@@ -14,9 +14,9 @@ import numpy as np
 import xxhash
 
 #: Samples in a block, blocks (one rotated table each), and bits compared.
-SAMPLES, BLOCKS, BITS = 4, 32, 128
+SAMPLES, BLOCKS, BITS = 3, 43, 128
 #: Two posts are compared word by word when at most this many of the BITS differ (random posts differ in about half).
-MOST_DIFFERENT = 42
+MOST_DIFFERENT = 48
 #: Words in fewer posts than 1/RARE_PART count as rare and weigh most; the rest weigh less the more frequent they are.
 #: At most RARE_PART times the mean number of words of a post can be frequent. The least weight is high enough that
 #: near-copies of one post still meet when they are so many that all its words are frequent.

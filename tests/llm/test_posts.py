@@ -51,6 +51,23 @@ def test_word_distance(a, b, most):
     assert fp.repeats(a, b) == (want if want <= part else None)
 
 
+@pytest.mark.parametrize("part, least", [(6, 0.995), (4, 0.95)])
+def test_edits_by_rare_words_are_met(part, least):
+    rng = random.Random(part)
+    frequent = {f"c{i}": 0.5 / (i + 1) for i in range(300)}
+    make, met, n = fp.Fingerprinter(frequent), 0, 400
+    for k in range(n):
+        post = rng.choices(list(frequent), [1 / (i + 5) for i in range(300)], k=160) + [f"w{k}x{i}" for i in range(40)]
+        rng.shuffle(post)
+        other = list(post)
+        for at in rng.sample(range(200), 200 // part):
+            other[at] = f"q{rng.randrange(10**9)}"
+        a, b = make(post), make(other)
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[1:], b[1:], strict=True))
+        met += apart <= fp.MOST_DIFFERENT and any(x == y for x, y in zip(a[0], b[0], strict=True))
+    assert met >= least * n, met / n
+
+
 POSTS = "doc_id long, text string, author string"
 
 
