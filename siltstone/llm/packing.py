@@ -48,6 +48,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
 def fillings(left: dict[int, int], sizes: list[int], capacity: int) -> list[tuple[int, Pattern]]:
     """(waste, pattern) of undominated fillings around the largest size, least waste first, at most WIDTH.
 
+    Not all of them: enumeration stops after FILL_NODES candidate sets and at a filling without waste.
+
     ``sizes`` has the sizes left, descending. An item that exactly fills the room dominates every other filling.
     """
     top = sizes[0]
@@ -90,7 +92,9 @@ def fillings(left: dict[int, int], sizes: list[int], capacity: int) -> list[tupl
 def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is filled; every item of the histogram is used exactly once.
 
-    Sizes lie between 1 and the capacity. Optimal when the search ends within ``nodes`` or meets the volume bound.
+    Sizes lie between 1 and the capacity. Known to be optimal only when it meets the volume bound: fillings() cuts
+    what is tried to WIDTH fillings out of FILL_NODES candidate sets, so a search that ends within ``nodes`` may still
+    miss a better solution. Never more containers than best_fit.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
