@@ -1,8 +1,9 @@
 """What changed between full snapshots of a table.
 
-Keys get persistent ordinals within hash shards. A snapshot of a root is then, per shard, a compressed bitmap of the
-ordinals present and column vectors aligned with its set bits: AND-NOT of consecutive bitmaps gives additions and
-removals, and the vectors at the ordinals common to both expose changed values.
+Keys get ordinals within hash shards, which persist if the caller keeps their dictionary and the number of shards. A
+snapshot of a root is then, per shard, a compressed bitmap of the ordinals present and column vectors aligned with its
+set bits: AND-NOT of consecutive bitmaps gives additions and removals, and the vectors at the ordinals common to both
+expose changed values.
 """
 
 from __future__ import annotations
