@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import files, glob
+from siltstone.functions import files, glob, hashing
 from siltstone.functions.keys import clean_key, latest, with_clean_path
 from siltstone.operators.references import held_objects
 from siltstone.plans import bisync, dedup, sync, upkeep
@@ -101,6 +101,12 @@ def dedup_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.duplicate_groups(dedup.size_candidates(_f(spark, sf).select("rel_path", "size", "hash")))
 
 
+@_query("")  # DuckDB has no XXH3-128; a test holds the groups against those of dedup_groups
+def dedup_groups_xxh3(spark: SparkSession, sf: str) -> DataFrame:
+    f = _f(spark, sf).select("rel_path", "size", hashing.content_key(F.encode("text", "UTF-8")).alias("hash"))
+    return dedup.duplicate_groups(f)
+
+
 @_query(f"WITH {_F}, {_GROUPS} SELECT (SELECT count(*) FROM f) AS scanned, count(*) AS n_groups, CAST(coalesce(sum(n_files - 1), 0) AS BIGINT) AS duplicate_files, CAST(coalesce(sum((n_files - 1) * size), 0) AS BIGINT) AS bytes_saved FROM g")
 def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
     f = _f(spark, sf).select("rel_path", "size", "hash")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import catalog
 from siltstone.plans import bisync, dedup, sync, upkeep
 from tests.conftest import rows
 
@@ -155,3 +156,14 @@ def test_seen_before(spark):
     plan = spark.createDataFrame([(f"{i:02}", 1, 0, "hot", None, "copy") for i in range(40)] + [("x", 1, 0, "old", None, "copy")], M + ", old_object_key string, action string")
     known = {r["rel_path"]: r["known"] for r in sync.seen_before(plan, spark.createDataFrame([("old",)], "object_key string")).collect()}
     assert known == {f"{i:02}": i > 0 for i in range(40)} | {"x": True}
+
+
+def test_dedup_groups_by_xxh3(spark, tmp_path):
+    texts = ["one", "two", "one", None, "", "été", "été", "e\u0301t\u00e9"]
+    docs = spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["dedup_groups_xxh3"](spark, str(tmp_path))
+    want = catalog.QUERIES["dedup_groups"](spark, str(tmp_path))
+    assert got.columns == want.columns
+    assert rows(got.drop("hash")) == rows(want.drop("hash")) == [(0, 2, "s/l/3.txt"), (3, 2, "s/l/0.txt"), (5, 2, "s/l/5.txt")]
+    assert {r["hash"] for r in got.where("size = 0").collect()} == {"h3:99aa06d3014798d86001c324468d497f"}
