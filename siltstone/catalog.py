@@ -390,6 +390,53 @@ def prune_released(spark: SparkSession, sf: str) -> DataFrame:
     return held_objects(_t(spark, sf, "objects_index")).where("released").select("object_key", F.lit("orphan").alias("reason"))
 
 
+# The planners over the rows that hold of the delivered tables: other spellings, superseded rows, nulls, heavy keys
+def _side(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    rows = with_clean_path(_t(spark, sf, name).where("path <> ''").select("path", "size", "mtime_ns", clean_key(F.col("hash")).alias("object_key"), "recorded_at"), "path").where("path <> ''")
+    return latest(rows, ["path"], "recorded_at", ["size", "mtime_ns", "object_key"]).withColumnRenamed("path", "rel_path")
+
+
+def _side_sql(name: str) -> str:
+    return f"SELECT path AS rel_path, size, mtime_ns, object_key FROM ({_held(name, 'path', 'recorded_at', _path('path') + ' AS path, size, mtime_ns, ' + _key('hash') + ' AS object_key, recorded_at', "path <> ''")}) WHERE path <> ''"
+
+
+_SIDES = f"f AS ({_side_sql('left_states')}), fi AS ({_side_sql('right_states')})"
+_SIDES_PLAN = """SELECT f.rel_path, f.size, f.mtime_ns, f.object_key, i.object_key AS old_object_key, CASE
+  WHEN f.size = i.size AND i.object_key IS NOT NULL AND abs(f.mtime_ns - i.mtime_ns) <= 2000000000 THEN 'skip' WHEN f.object_key IS NULL THEN 'skip_error'
+  WHEN f.size = i.size AND f.object_key = i.object_key AND abs(f.mtime_ns - i.mtime_ns) > 2000000000 THEN 'touch' ELSE 'copy' END AS action
+  FROM f LEFT JOIN fi i ON i.rel_path = f.rel_path"""
+
+
+@_query(f"WITH {_SIDES} {_SIDES_PLAN}")
+def sync_plan_held(spark: SparkSession, sf: str) -> DataFrame:
+    """The left side copied onto the right one."""
+    return sync.sync_plan(_side(spark, sf, "left_states"), _side(spark, sf, "right_states"))
+
+
+@_query(f"WITH {_SIDES} SELECT rel_path FROM fi WHERE rel_path NOT IN (SELECT rel_path FROM f)")
+def sync_source_deleted_held(spark: SparkSession, sf: str) -> DataFrame:
+    return sync.source_deleted(_side(spark, sf, "left_states"), _side(spark, sf, "right_states"))
+
+
+@_query(f"""WITH k AS (SELECT size, rel_path > min(rel_path) OVER (PARTITION BY object_key) OR object_key IN (SELECT object_key FROM ({_HELD_OBJECTS})) AS known
+  FROM (SELECT CAST(task_id AS VARCHAR) AS rel_path, * FROM {_TASK}) WHERE object_key IS NOT NULL)
+  SELECT count(*) AS copied, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (known), 0) AS BIGINT) AS dedup_saved FROM k""")
+def sync_report_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each task with a key carried out once; one key holds about a tenth of them."""
+    tasks = _t(spark, sf, "copy_tasks").groupBy("task_id").agg(F.max(clean_key(F.col("object_key"))).alias("object_key"), F.max("size").alias("size"))
+    plan = tasks.where("object_key is not null").select(F.col("task_id").cast("string").alias("rel_path"), "object_key", "size", F.lit("copy").alias("action"))
+    return sync.sync_report(plan, held_objects(_t(spark, sf, "objects_index")))
+
+
+@_query(f"""WITH o AS ({_HELD_OBJECTS}) SELECT object_key, 'orphan' AS reason FROM o WHERE ref_count = 0
+  UNION ALL SELECT DISTINCT {_key('object_key')}, 'unindexed' FROM copy_tasks WHERE {_key('object_key')} IS NOT NULL AND {_key('object_key')} NOT IN (SELECT object_key FROM o)""")
+def prune_plan_held(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects that the tasks stored against the tables' own index."""
+    raw = _t(spark, sf, "objects_index").select(clean_key(F.col("object_key")).alias("object_key"), "recorded_at", "ref_count")
+    stored = _t(spark, sf, "copy_tasks").select(clean_key(F.col("object_key")).alias("object_key")).where("object_key is not null")
+    return upkeep.prune_plan(latest(raw, ["object_key"], "recorded_at", ["ref_count"]), stored)
+
+
 _HEX = "CASE WHEN starts_with(object_key, 'h3:') THEN substr(object_key, 4) ELSE object_key END"
 _OK = f"regexp_full_match({_HEX}, '[0-9A-Fa-f]{{4,}}')"
 

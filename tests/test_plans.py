@@ -167,3 +167,14 @@ def test_dedup_groups_by_xxh3(spark, tmp_path):
     assert got.columns == want.columns
     assert rows(got.drop("hash")) == rows(want.drop("hash")) == [(0, 2, "s/l/3.txt"), (3, 2, "s/l/0.txt"), (5, 2, "s/l/5.txt")]
     assert {r["hash"] for r in got.where("size = 0").collect()} == {"h3:99aa06d3014798d86001c324468d497f"}
+
+
+def test_sync_plan_over_held_rows(spark, tmp_path):
+    schema = "path string, size long, mtime_ns long, hash string, recorded_at int"
+    left = [("a/./x", 1, 0, " AA ", 2), ("a/x", 9, 9, "old", 1), ("b", 2, 5_000_000_000, "h3:bb", 1), ("c", None, 0, "cc", 1), ("d", 4, 0, "", 1), (None, 1, 0, "aa", 1), ("", 1, 0, "aa", 1)]
+    right = [("a/x", 1, 1, "h3:aa", 1), ("b", 2, 0, "BB", 1), ("c", 3, 0, "cc", 1), ("gone", 1, 0, "aa", 1), ("./gone", 1, 0, "aa", 0)]
+    for name, data in (("left_states", left), ("right_states", right)):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = catalog.QUERIES["sync_plan_held"](spark, str(tmp_path))
+    assert rows(plan.select("rel_path", "action")) == [("a/x", "skip"), ("b", "touch"), ("c", "copy"), ("d", "skip_error")]
+    assert rows(catalog.QUERIES["sync_source_deleted_held"](spark, str(tmp_path))) == [("gone",)]
