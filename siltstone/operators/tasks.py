@@ -42,6 +42,14 @@ def task_object_totals(tasks: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def heavy_keys(totals: DataFrame, part: int = HEAVY_PART) -> DataFrame:
-    """Keys of ``totals`` holding at least 1/part of all its tasks; at most ``part`` rows."""
+    """Keys of ``totals`` (n_tasks per key) holding at least 1/part of all its tasks; at most ``part`` rows."""
     total = totals.groupBy().agg(F.sum("n_tasks")).scalar()
     return totals.where(F.col("n_tasks") * part >= total).select("object_key")
+
+
+def heavy_joined_keys(joined: DataFrame, part: int = HEAVY_PART) -> DataFrame:
+    """Keys of the joined states of ``task_object_totals`` holding at least 1/part of all tasks.
+
+    A key's tasks are its joined rows divided by how often each of them was joined, rolled up after the join.
+    """
+    return heavy_keys(joined.select("object_key", F.expr("n_pairs div greatest(coalesce(n_objects, 0), 1)").alias("n_tasks")), part)

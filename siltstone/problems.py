@@ -44,7 +44,7 @@ def p3_orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.heavy_keys(tasks.task_object_totals(_t(spark, sf, "copy_tasks"), _t(spark, sf, "objects_index")))
+    return tasks.heavy_joined_keys(tasks.task_object_totals(_t(spark, sf, "copy_tasks"), _t(spark, sf, "objects_index")))
 
 
 def p4_totals(spark: SparkSession, sf: str) -> DataFrame:

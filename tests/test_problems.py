@@ -111,6 +111,11 @@ def test_task_totals(spark):
     assert got["h3:hot"]["n_tasks"] == 150 and got["h3:hot"]["total_size"] == sum(range(1, 300, 2)) and got["h3:hot"]["last_queued_at"] == at(299)
     assert len(got) == 151
     assert rows(tasks.heavy_keys(tasks.task_totals(df))) == [("h3:hot",)]
+    objects = spark.createDataFrame([("HOT",), ("hot",), ("hot",), ("k2",), (None,)], "object_key string")
+    joined = tasks.task_object_totals(df, objects)
+    assert rows(tasks.heavy_joined_keys(joined)) == [("h3:hot",)]
+    assert tasks.heavy_joined_keys(joined)._jdf.queryExecution().optimizedPlan().toString().count("Join") >= 1
+    assert tasks.heavy_joined_keys(tasks.task_object_totals(df.where("false"), objects)).count() == 0
     assert tasks.task_totals(df.where("false")).count() == tasks.heavy_keys(tasks.task_totals(df.where("false"))).count() == 0
 
 
