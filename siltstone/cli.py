@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
+import threading
+import time
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 from siltstone.effects import commands
 from siltstone.effects.report import human, sync_text
 from siltstone.plans.bisync import STRATEGIES
-from siltstone.sources.config import load
+from siltstone.sources.config import WORKERS, Config, load
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,11 +41,37 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--right", required=True)
     b.add_argument("--state", required=True)
     b.add_argument("--conflict", choices=STRATEGIES, default="keep-both")
+    b.add_argument("--workers", type=int, default=WORKERS)
     b.add_argument("--exclude", action="append", default=[])
     b.add_argument("--dry-run", action="store_true")
     return p
 
 
+def _telling() -> Callable[[dict], None]:
+    """Prints how many files are done and the last one, a few times a second; failures always."""
+    done, last = 0, 0.0
+
+    def on_event(e: dict) -> None:
+        nonlocal done, last
+        done += 1
+        if e["error"] or done == 1 or time.monotonic() - last > 0.2:
+            last = time.monotonic()
+            print(f"[{done}] {e['status']} {e['rel_path']}", file=sys.stderr)
+
+    return on_event
+
+
+def _sync(spark: SparkSession, config: Config, dry_run: bool) -> dict:
+    """Interrupting it ends the sync after the files that are being copied."""
+    stop, main_thread = threading.Event(), threading.current_thread() is threading.main_thread()
+    before = {s: signal.signal(s, lambda *_: stop.set()) for s in (signal.SIGINT, signal.SIGTERM)} if main_thread else {}
+    try:
+        return commands.sync(spark, config, dry_run, stop, _telling())
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("siltstone").getOrCreate()
@@ -54,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             config.verify_small_files = False
         if a.no_metadata_fast_skip:
             config.metadata_fast_skip = False
-        r = commands.sync(spark, config, a.dry_run)
+        r = _sync(spark, config, a.dry_run)
         if a.dry_run:
             for row in r["plan"].where("action <> 'skip'").orderBy("rel_path").toLocalIterator():
                 print(row["action"], row["rel_path"])
@@ -78,8 +108,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         r = commands.dedup(spark, a.folder, a.exclude, a.index, a.dry_run, a.readonly)
         print(f"scanned {r['scanned']}, {r['n_groups']} groups, {r['duplicate_files']} duplicates, {r['deduped_files']} linked, {human(r['linked_bytes'])} saved")
         return 0
-    r = commands.bisync(spark, a.left, a.right, a.state, a.conflict, a.exclude, a.dry_run)
-    print({k: v for k, v in r.items() if k not in ("actions", "errors")}, *[f"failed: {p}: {e}" for p, e in r["errors"]], sep="\n")
+    r = commands.bisync(spark, a.left, a.right, a.state, a.conflict, a.exclude, a.dry_run, a.workers)
+    print({k: v for k, v in r.items() if k not in ("actions", "errors", "failures")}, *[f"failed: {p}: {e}" for p, e in r["errors"]], sep="\n")
     return int(bool(r["errors"]))
 
 

@@ -15,6 +15,8 @@ def sync_text(r: dict) -> str:
         f"copied {r['copied']}, skipped {r['skipped']}, failed {r['failed']}",
         f"{human(r['bytes'])} copied, {human(r['dedup_saved'])} saved by stored content",
     ]
+    if r.get("cancelled"):
+        lines.append(f"stopped with {r['cancelled']} files not begun; the next run goes on")
     lines += [f"failed: {p}: {e}" for p, e in r.get("errors", [])]
     lines += [f"in use: {p}" for p in r.get("locked", [])]
     return "\n".join(lines)

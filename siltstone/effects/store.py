@@ -113,10 +113,10 @@ def quarantine(root: str, rel_path: str, stamp: str) -> str:
     """Moves a destination that holds other content out of the way; returns where to."""
     from hashlib import sha1
 
-    folder = os.path.dirname(rel_path).replace("/", "_").replace("\x00", "_")
+    folder = rel_path.replace("/", "_").replace("\x00", "_")
     raw = folder.encode()
     if len(raw) > 150:
-        folder = raw[:141].decode(errors="replace") + "_" + sha1(raw).hexdigest()[:8]
+        folder = raw[:141].decode(errors="replace") + "_" + sha1(rel_path.encode()).hexdigest()[:8]
     to = os.path.join(root, METADATA, "conflict", stamp, folder, os.path.basename(rel_path))
     n, free = 0, to
     while os.path.lexists(free):
@@ -136,21 +136,30 @@ def keep_mtime(path: str, mtime_ns: int) -> str | None:
     return None
 
 
-def make_folders(root: str, rel_paths: list[str]) -> list[str]:
-    """Replicates folders, empty ones too; returns warnings."""
-    warnings = []
-    for rel in rel_paths:
-        try:
-            os.makedirs(os.path.join(root, rel), exist_ok=True)
-        except OSError as e:
-            warnings.append(f"{rel}: {e.strerror}")
-    return warnings
+def make_folder(root: str, rel_path: str) -> str | None:
+    """Makes a folder below the root; a failure is a warning."""
+    try:
+        os.makedirs(os.path.join(root, rel_path), exist_ok=True)
+    except OSError as e:
+        return f"{rel_path}: {e.strerror}"
+    return None
+
+
+def store_one(task: dict, target: str, mode: str) -> bool | None:
+    """Stores a key's content ahead of its copies; whether it was there, None where that is left to the copies."""
+    try:
+        s = os.stat(task["abs_path"])
+        if s.st_size != task["size"] or abs(s.st_mtime_ns - task["mtime_ns"]) > 2_000_000_000:
+            return None
+        return ensure_object(os.path.join(target, METADATA, "objects"), task["abs_path"], task["object_key"], mode)
+    except (OSError, ValueError):
+        return None
 
 
 def copy_one(task: dict, target: str, mode: str, verify: bool, stamp: str) -> dict:
     """Carries out one copy: checks the source again, stores, sets conflicts aside, places, dates, verifies.
 
-    Returns status (copied, failed, locked), existed, object_key, bytes, error, warning; it never raises for a file's sake.
+    ``stored`` of the task says whether its content was there before ``store_one`` took it in (null: it did not). Returns status (copied, failed, locked), existed, object_key, bytes, error, warning; it never raises for a file's sake.
     """
     rel, key, size, mtime = task["rel_path"], task["object_key"], task["size"], task["mtime_ns"]
     out = {"rel_path": rel, "object_key": key, "old_object_key": task.get("old_object_key"), "status": "copied", "existed": False, "size": size, "mtime_ns": mtime, "error": None, "warning": None}
@@ -162,7 +171,8 @@ def copy_one(task: dict, target: str, mode: str, verify: bool, stamp: str) -> di
         if s.st_size != size or abs(s.st_mtime_ns - mtime) > 2_000_000_000:
             key = file_key(task["abs_path"])
             out |= {"object_key": key, "size": s.st_size, "mtime_ns": s.st_mtime_ns}
-        out["existed"] = ensure_object(objects, task["abs_path"], key, mode)
+        existed = ensure_object(objects, task["abs_path"], key, mode)
+        out["existed"] = existed if task.get("stored") is None or key != task["object_key"] else bool(task["stored"])
         if os.path.isfile(dest) and not os.path.islink(dest):
             there = file_key(dest)
             if there not in (key, out["old_object_key"]):

@@ -12,8 +12,8 @@ from siltstone.operators.skew import hot_keys, salted_join
 
 def size_candidates(files: DataFrame) -> DataFrame:
     """Files that share their size with another; only these need hashing."""
-    shared = files.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size")
-    return files.join(shared, "size", "left_semi")
+    shared = files.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return salted_join(files, shared.select("size"), "size", [F.col("rel_path")], hot_keys(shared, "size", "n")).select(*files.columns)
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
@@ -33,17 +33,21 @@ def dedup_stats(groups: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def link_plan(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """rel_path, representative of every file to link. Files on the representative's inode (dev, ino) need none.
+    """rel_path, representative, size of every file to link, and mtime_ns and head_mtime_ns where ``files`` has mtime_ns.
 
-    One row per file: the group's files are never gathered, and those of a large group meet it in salted parts.
+    Files on the representative's inode (dev, ino) need none. One row per file: the group's files are never gathered, and
+    those of a large group meet it in salted parts. What is known of a representative comes with the group's minimum.
     """
-    g = groups.select("size", "hash", "representative")
-    hot = hot_keys(groups, ["size", "hash"], "n_files")
-    j = salted_join(files, g, ["size", "hash"], [F.col("rel_path")], hot).where(F.col("rel_path") != F.col("representative"))
-    if {"dev", "ino"} <= set(files.columns):
-        head = files.select(F.col("rel_path").alias("representative"), F.col("dev").alias("r_dev"), F.col("ino").alias("r_ino"))
-        j = j.join(head, "representative").where("not (dev <=> r_dev and ino <=> r_ino) or ino is null")
-    return j.select("rel_path", "representative", "size")
+    known = [c for c in ("mtime_ns", "dev", "ino") if c in files.columns]
+    g = groups.select("size", "hash", "n_files", "representative")
+    if known:
+        head = F.min(F.struct(F.col("rel_path").alias("representative"), *[F.col(c).alias(f"head_{c}") for c in known])).alias("head")
+        g = files.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("n_files"), head).join(groups.select("size", "hash"), ["size", "hash"], "left_semi").select("size", "hash", "n_files", "head.*")
+    hot = hot_keys(g, ["size", "hash"], "n_files")
+    j = salted_join(files, g.drop("n_files"), ["size", "hash"], [F.col("rel_path")], hot).where(F.col("rel_path") != F.col("representative"))
+    if {"dev", "ino"} <= set(known):
+        j = j.where("not (dev <=> head_dev and ino <=> head_ino) or ino is null")
+    return j.select("rel_path", "representative", "size", *(["mtime_ns", "head_mtime_ns"] if "mtime_ns" in known else []))
 
 
 def to_hash(files: DataFrame, states: DataFrame) -> DataFrame:

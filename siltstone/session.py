@@ -12,9 +12,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (a local session), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own, in a local session only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -57,6 +59,29 @@ def new_file(spark: SparkSession, at: str) -> bool:
     return fs.createNewFile(path)
 
 
+def new_text(spark: SparkSession, at: str, text: str) -> bool:
+    """Writes a small file that nobody ever sees half of; False where it is there already."""
+    draft, path = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{at}.{uuid.uuid4().hex}", at))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(path) and fs.rename(draft, path):
+        return True
+    fs.delete(draft, False)
+    return False
+
+
+def get_text(spark: SparkSession, at: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    f = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")
+    finally:
+        f.close()
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """``df`` written as a table and read back: later steps start from files, not from the lineage."""
     spark = df.sparkSession

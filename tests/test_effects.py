@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import threading
 
 import pytest
 
@@ -8,10 +9,12 @@ from siltstone.cli import main
 from siltstone.effects import commands, links, store
 from siltstone.effects.lock import Lock, Locked
 from siltstone.effects.report import human
+from siltstone.operators.references import orphan_keys
 from siltstone.sources import config as cf
 from siltstone.sources.scan import files_of, folders_of, scan
 from siltstone.streaming.counts import COUNTS_SCHEMA, follow
-from siltstone.streaming.state import Snapshots
+from siltstone.streaming import state as st
+from siltstone.streaming.state import DELTAS, Snapshots
 from tests.conftest import rows
 
 
@@ -50,7 +53,8 @@ def test_lifecycle(spark, tmp_path):
     write(tmp_path / "A", {"a": "one more"})
     assert commands.sync(spark, c)["copied"] == 1
     assert not (tmp_path / "T/.siltstone/conflict").exists()
-    assert commands.verify(spark, c.target_root) | {"errors": []} == {"checked": 5, "missing": 0, "failed": 0, "errors": []}
+    v = commands.verify(spark, c.target_root)
+    assert (v["checked"], v["missing"], v["failed"], v["errors"]) == (5, 0, 0, []) and v["verdicts"].count() == 5
     objects = {r["object_key"]: r["ref_count"] for r in commands.index_of(spark, c.target_root).objects.read().collect()}
     assert sorted(objects.values()) == [0, 1, 1, 1, 2]
     s = commands.status(spark, c.target_root)
@@ -113,9 +117,72 @@ def test_dedup(spark, tmp_path):
 
 def test_link_failure_rolls_back(tmp_path, monkeypatch):
     write(tmp_path, {"a": "x", "b": "x"})
-    monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError(1, "no")))
-    r = links.link_group(str(tmp_path / "a"), [str(tmp_path / "b")])
+    monkeypatch.setattr(os, "link", lambda *_, **__: (_ for _ in ()).throw(OSError(1, "no")))
+    a, b = seen(tmp_path / "a"), seen(tmp_path / "b")
+    r = links.link_group(a, [b])
     assert r["linked"] == [] and len(r["errors"]) == 1 and sorted(os.listdir(tmp_path)) == ["a", "b"]
+    assert len(links.link_group(a._replace(path=str(tmp_path / "gone")), [b])["errors"]) == 1
+
+
+def seen(path):
+    s = os.stat(path)
+    return links.Seen(str(path), s.st_size, s.st_mtime_ns)
+
+
+def test_files_changed_since_the_scan_are_left_alone(tmp_path):
+    write(tmp_path, {n: "same" for n in "abcd"})
+    a, b, c, d = (seen(tmp_path / n) for n in "abcd")
+    (tmp_path / "b").write_text("other content")
+    (tmp_path / "c").unlink()
+    (tmp_path / "c").symlink_to(tmp_path / "b")
+    r = links.link_group(a, [b, c, d])
+    assert r["linked"] == [d.path] and len(r["errors"]) == 2
+    assert (tmp_path / "b").read_text() == (tmp_path / "c").read_text() == "other content" and (tmp_path / "c").is_symlink()
+    (tmp_path / "e").write_text("same")
+    e = seen(tmp_path / "e")
+    (tmp_path / "a").write_text("news")
+    os.utime(tmp_path / "a", ns=(1, 1))
+    assert links.link_group(a, [e])["linked"] == [] and (tmp_path / "e").read_text() == "same"
+    assert sorted(os.listdir(tmp_path)) == list("abcde")
+
+
+def test_sync_is_one_commit(spark, tmp_path, monkeypatch):
+    write(tmp_path / "A", {"a": "one", "b": "two"})
+    c = settings(tmp_path)
+    text = st.new_text
+    monkeypatch.setattr(st, "new_text", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        commands.sync(spark, c)
+    monkeypatch.setattr(st, "new_text", text)
+    i = commands.index_of(spark, c.target_root)
+    assert i.files.read().count() == i.objects.read().count() == 0
+    assert commands.sync(spark, c)["copied"] == 2
+    assert i.files.read().count() == i.objects.read().count() == 2 and commands.prune(spark, c.target_root)["deleted"] == 0
+    before = rows(i.objects.read())
+    monkeypatch.setattr(st, "new_text", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        commands.reindex(spark, c.target_root)
+    assert rows(i.objects.read()) == before and i.files.read().count() == 2
+
+
+def test_sync_can_be_stopped(spark, tmp_path):
+    write(tmp_path / "A", {n: n for n in "abcde"})
+    c, stop, events = settings(tmp_path), threading.Event(), []
+    stop.set()
+    r = commands.sync(spark, c, stop=stop)
+    assert (r["copied"], r["skipped"], r["cancelled"], r["failed"]) == (0, 5, 5, 0)
+    stop.clear()
+    r = commands.sync(spark, c, stop=stop, on_event=events.append)
+    assert (r["copied"], r["skipped"]) == (5, 0) and sorted(e["rel_path"] for e in events) == [f"A/{n}" for n in "abcde"]
+    assert not [n for n in os.listdir(tmp_path / "T/.siltstone") if n.startswith("run-")]
+
+
+def test_failures_are_told_and_the_rest_goes_on(spark, tmp_path):
+    write(tmp_path, {"A/a": "one", "A/b": "two", "T/A/b/inside": "in the way"})
+    events = []
+    r = commands.sync(spark, settings(tmp_path), on_event=events.append)
+    assert (r["copied"], r["failed"]) == (1, 1) and r["errors"][0][0] == "A/b"
+    assert {e["rel_path"]: e["status"] for e in events} == {"A/a": "copied", "A/b": "failed"}
 
 
 @pytest.mark.parametrize("strategy", ["keep-both", "newer-wins"])
@@ -158,16 +225,25 @@ def test_snapshots(spark, tmp_path):
     v = s.version
     s.merge()
     assert s.version == v and rows(s.get("new")) == [("new", 3)]
+    for i in range(DELTAS + 2):
+        s.merge(spark.createDataFrame([("new", i), (f"k{i}", i), (None, i)], "k string, v int"), spark.createDataFrame([(f"k{i - 1}",), (None,)], "k string"))
+    assert rows(s.read()) == [("k9", 9), ("keep", 4), ("new", 9)]
+    head = s.state.head()
+    assert len(head["tables"]["rows"]) <= DELTAS and len(os.listdir(tmp_path / "s/rows")) <= DELTAS + 2 and len([n for n in os.listdir(tmp_path / "s/commits") if n.endswith("json")]) == 2
 
 
 def test_counts_stream(spark, tmp_path):
-    deltas = spark.createDataFrame([("k", 1, 0, 0, None, None), ("k", 2, 1, 1, None, None)], COUNTS_SCHEMA)
+    deltas = spark.createDataFrame([("k", 1, 0, 0, None, None), ("k", 2, 1, 1, None, None), ("gone", 1, 0, 0, None, None), (None, 1, 0, 0, None, None)], COUNTS_SCHEMA)
+    counts = Snapshots(spark, str(tmp_path / "state"), COUNTS_SCHEMA, "object_key")
     deltas.write.parquet(str(tmp_path / "in/1"))
-    state = Snapshots(spark, str(tmp_path / "state"), COUNTS_SCHEMA, "object_key")
-    for _ in range(2):
+    for n in range(3):
         stream = spark.readStream.schema(deltas.schema).parquet(str(tmp_path / "in/*"))
-        follow(stream, state, str(tmp_path / "cp")).awaitTermination()
-    assert rows(state.read().where("object_key = 'k'").select("n_refs", "n_exists")) == [(3, 1)]
+        follow(stream, counts, str(tmp_path / "cp")).awaitTermination()
+        if n == 0:
+            spark.createDataFrame([("other", 4, 0, 0, None, None), ("gone", -1, 0, 0, None, None)], COUNTS_SCHEMA).write.parquet(str(tmp_path / "in/2"))
+    assert rows(counts.read().select("object_key", "n_refs", "n_exists")) == [("k", 3, 1), ("other", 4, 0)]
+    assert rows(orphan_keys(counts.read())) == [("other", 4, "missing")]
+    assert counts.state.marks()["batch"] == 1
 
 
 GOOD = """
@@ -182,6 +258,33 @@ exclude:
 """
 
 
+FLOW = """
+target_root: /mnt/T
+mode: bisync
+bisync:
+  left: /l
+  right: '/it''s'   # here
+  conflict: newer-wins
+sources: [{src: /a, dest: "x#y"}, {src: /b,
+  dest: z}]
+exclude: ["**/.git/**", "**/*.tmp"]
+"""
+
+
+def test_inline_settings(spark, tmp_path):
+    c = cf.load(FLOW)
+    assert c.exclude == ["**/.git/**", "**/*.tmp"] and c.bisync == cf.Pair("/l", "/it's", "newer-wins") and c.mode == "bisync"
+    assert [(s.src, s.dest) for s in c.sources] == [("/a", "x#y"), ("/b", "z")]
+    write(tmp_path, {"a.txt": "a", "docs/b.tmp": "b", "docs/c": "c"})
+    assert {r["rel_path"] for r in files_of(scan(spark, str(tmp_path), c.exclude)).collect()} == {"a.txt", "docs/c"}
+
+
+@pytest.mark.parametrize("line", ["exclude: '*.tmp'", "exclude: [**/a]", "exclude: [[a]]", "workers: many", "verify: 3", "note: |\n  x", "\tnote: 1", "note: [1, 2", 'note: "x', "note: 1\n  b: 2", "bisync: 3", "note", "note: b: c", "workers: 1\nworkers: 2"])
+def test_settings_that_are_refused(line):
+    with pytest.raises(ValueError):
+        cf.load(GOOD + line)
+
+
 def test_config():
     c = cf.load(GOOD)
     assert c.workers == 8 and c.on("verify") and c.exclude == ["**/.git/**"]
