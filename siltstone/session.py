@@ -87,4 +87,11 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     spark = df.sparkSession
     at = at or new_folder(spark)
     df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._written_at = at
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, once nothing reads it any more."""
+    drop_folder(df.sparkSession, df._written_at)
