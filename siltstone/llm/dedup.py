@@ -2,32 +2,48 @@
 
 A store keeps, of accepted posts only, their own words, their fingerprints and one block table per rotation. A batch is
 fingerprinted, looks up exact block matches, counts differing bits of the candidates and compares the words of what is
-left; unmatched posts are accepted and appended. History is read by the lookup alone and never fingerprinted again.
+left; unmatched posts are accepted and appended. History is read by the lookup alone and never fingerprinted again; it lies
+in buckets by block, so the lookup moves the batch's rows only.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import fingerprints as fp
 from siltstone.llm.owntext import own_words
 from siltstone.operators.skew import hot_keys, salted_join
-from siltstone.session import names_in, new_file, new_folder, written
+from siltstone.session import discard, drop_folder, get_text, names_in, new_folder, new_text, written
 
 #: Posts with fewer own words are never judged.
 LEAST_WORDS = 12
 #: A repeat differs in at most 1/PART of the longer post's words.
 PART = 4
-#: Posts this few bits apart within a block need not both be compared with later posts of the block in the same round.
-TIGHT = 20
-
-WORDS = "doc_id bigint, words string, digest binary"
-PRINTS = "doc_id bigint, n_words int, bits1 bigint, bits2 bigint, blocks array<bigint>"
+#: Posts that differ in at most 1/TIGHT of their words' number of bits need not both be compared with later posts of a block in
+#: the same round.
+TIGHT = 8
+#: Rows of a block that one task compares with one another; a block with more is split.
+BLOCK_ROWS = 20_000
+#: A block is hot with more than 1/HOT_POSTS of a batch's posts (and more than BLOCK_ROWS), so this times the blocks bounds the hot ones.
+HOT_POSTS = 1000
+#: Groups up to this size are compared pair by pair, larger ones by their heads.
+SMALL = 64
+#: Buckets of a new store's tables, by block and by doc_id.
+STORE_BUCKETS = 32
+
+BITS = [f"w{i}" for i in range(fp.WIDTH)]
+_BITS_SQL = ", ".join(f"{w} bigint" for w in BITS)
+PRINTS = f"doc_id bigint, n_words int, {_BITS_SQL}, blocks array<bigint>"
+PAYLOAD = ["doc_id", "n_words", *BITS]
 _WORDS_SQL = "doc_id bigint, words string"
 
 
@@ -60,107 +76,203 @@ def fingerprinted(words: DataFrame, frequent: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = fp.Fingerprinter(known.value)
         for b in batches:
-            posts = [w.split(" ") for w in b.column(1).to_pylist()]
-            made = [make(w) for w in posts]
-            yield pa.record_batch({
-                "doc_id": b.column(0),
-                "n_words": pa.array([len(w) for w in posts], pa.int32()),
-                "bits1": pa.array([m[1] for m in made], pa.int64()),
-                "bits2": pa.array([m[2] for m in made], pa.int64()),
-                "blocks": pa.array([m[0] for m in made], pa.list_(pa.int64())),
-            })
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                posts = [w.split(" ") for w in part.column(1).to_pylist()]
+                blocks, bits = make(posts)
+                yield pa.record_batch({
+                    "doc_id": part.column(0),
+                    "n_words": pa.array([len(w) for w in posts], pa.int32()),
+                    **{w: pa.array(np.ascontiguousarray(bits[:, i])) for i, w in enumerate(BITS)},
+                    "blocks": pa.FixedSizeListArray.from_arrays(pa.array(blocks.reshape(-1)), fp.BLOCKS).cast(pa.list_(pa.int64())),
+                })
 
     return words.select("doc_id", "words").mapInArrow(run, PRINTS)
 
 
 def block_rows(prints: DataFrame) -> DataFrame:
     """The rotated tables in one: a row per post and block; the block's number is part of its key."""
-    return prints.select(F.explode("blocks").alias("block"), "doc_id", "bits1", "bits2", "n_words")
-
-
-def _apart(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
-
+    return prints.select(F.explode("blocks").alias("block"), *PAYLOAD)
 
-def _fit(n: Column, m: Column) -> Column:
-    """Whether the lengths alone allow a repeat: the distance is at least their difference."""
-    return F.abs(n - m) * PART <= F.greatest(n, m)
 
+def may_repeat(n: str, bits: list[str], m: str, other: list[str]) -> Column:
+    """Whether lengths and bits allow a repeat. The distance is at least the lengths' difference and half the bits that differ."""
+    most = F.floor(F.greatest(n, m) / PART)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(bits, other, strict=True)])
+    return (F.abs(F.col(n) - F.col(m)) <= most) & (apart <= 2 * most)
 
-def history_pairs(prints: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id_a, doc_id_b: new posts and accepted posts with a common block and few differing bits."""
-    old = blocks.select("block", F.col("doc_id").alias("doc_id_a"), F.col("bits1").alias("old1"), F.col("bits2").alias("old2"), F.col("n_words").alias("old_n"))
-    met = block_rows(prints).withColumnRenamed("doc_id", "doc_id_b").join(old, "block")
-    close = _apart(F.col("bits1"), F.col("bits2"), F.col("old1"), F.col("old2")) <= fp.MOST_DIFFERENT
-    close &= _fit(F.col("n_words"), F.col("old_n"))
-    return met.where(close & (F.col("doc_id_a") < F.col("doc_id_b"))).select("doc_id_a", "doc_id_b").distinct()
 
+def hot_blocks(rows: DataFrame) -> DataFrame | None:
+    """block, salts of the blocks that one task should not take alone, each part at most about BLOCK_ROWS or 1/HOT_POSTS of the posts.
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within blocks, rows sorted by block and doc_id: each post with the earlier heads of its block it is close to.
-
-    A post is a head unless it is tightly close to one, so near-copies do not pile up: a block's memory is its heads.
+    None if there are none. There are at most HOT_POSTS times BLOCKS, whatever the batch.
+    """
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    size = F.greatest(F.lit(BLOCK_ROWS), F.ceil(total / fp.BLOCKS / HOT_POSTS))
+    hot = counts.where(F.col("n") > BLOCK_ROWS).where(F.col("n") > size).select("block", F.ceil(F.col("n") / size).cast("int").alias("salts")).collect()
+    return rows.sparkSession.createDataFrame(hot, "block bigint, salts int") if hot else None
+
+
+def _lookup(rows: DataFrame, old: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """doc_id_a, doc_id_b: ``rows`` (block rows of new posts) with the earlier posts of ``old`` that share a block and may be repeated."""
+    o = old.select("block", *[F.col(c).alias(f"old_{c}") for c in PAYLOAD])
+    fits = (F.col("old_doc_id") < F.col("doc_id")) & may_repeat("n_words", BITS, "old_n_words", [f"old_{w}" for w in BITS])
+    pair = [F.col("old_doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")]
+    if hot is None:
+        return rows.join(o, "block").where(fits).select(*pair)
+    h = F.broadcast(hot.select("block"))
+    cold = rows.join(h, "block", "left_anti").join(o, "block").where(fits).select(*pair)
+    split = salted_join(rows.join(h, "block", "left_semi"), o.join(h, "block", "left_semi"), "block", [F.col("doc_id")], hot)
+    return cold.unionByName(split.where(fits).select(*pair))
+
+
+def history_pairs(prints: DataFrame, blocks: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """doc_id_a, doc_id_b: posts of ``prints`` and earlier posts of the block table ``blocks`` with a common block and few differing bits.
+
+    ``blocks`` is not moved where it lies in buckets by block. The ``hot`` blocks of the posts meet it in salted parts.
     """
-    block, ids, bits, sizes = None, [], [], []
-    many, long = np.zeros((0, 2), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return _lookup(block_rows(prints), blocks, hot).distinct()
+
+
+def _compare(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of row numbers that may be repeats, and whether each is tight."""
+    longer = np.maximum(n[i], n[j])
+    keep = np.abs(n[i] - n[j]) <= longer // PART
+    i, j, longer = i[keep], j[keep], longer[keep]
+    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    keep = apart <= 2 * (longer // PART)
+    return i[keep], j[keep], apart[keep] * TIGHT <= longer[keep]
+
+
+def _small_groups(place: np.ndarray, size: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs within groups of few rows; ``place`` is a row's number in its group. All groups move by one distance at a time."""
+    left = np.arange(len(n))
+    for d in range(1, SMALL):
+        left = left[place[left] + d < size[left]]
+        if not len(left):
+            return
+        for at in range(0, len(left), 1 << 16):
+            i = left[at : at + (1 << 16)]
+            yield _compare(n, bits, i, i + d)
+
+
+def _large_group(n: np.ndarray, bits: np.ndarray) -> tuple[list, np.ndarray]:
+    """Pairs of one group, each row with the heads before it, and which rows are heads (tight to no row before them)."""
+    heads, found = np.zeros(0, dtype=np.int64), []
+    step = 256
+    for at in range(0, len(n), step):
+        rows = np.arange(at, min(at + step, len(n)))
+        k, l = np.triu_indices(len(rows), 1)
+        inner = _compare(n, bits, rows[k], rows[l])
+        loose = np.zeros(len(rows), dtype=bool)
+        loose[inner[1][inner[2]] - at] = True
+        parts = [inner]
+        for h in range(0, len(heads), 1024):
+            some = heads[h : h + 1024]
+            near = _compare(n, bits, np.tile(some, len(rows)), np.repeat(rows, len(some)))
+            loose[near[1][near[2]] - at] = True
+            parts.append(near)
+        found += parts
+        heads = np.concatenate([heads, rows[~loose]])
+    return found, heads
+
+
+_NEAR = f"doc_id_a bigint, doc_id_b bigint, tight boolean, block bigint, {', '.join(f'{c} {k}' for c, k in [('doc_id', 'bigint'), ('n_words', 'int')] + [(w, 'bigint') for w in BITS])}"
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within groups; rows sorted by (block, part, doc_id). Of groups with ``split`` the heads come out as rows too.
+
+    A group stays in memory until its last row has come; splitting bounds it. A post tight to an earlier one of its group is
+    compared with no later one there.
+    """
+    kept: list[pa.RecordBatch] = []
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n = t["doc_id"].to_numpy(), t["n_words"].to_numpy().astype(np.int64)
+        bits = np.stack([t[w].to_numpy() for w in BITS], axis=1).view(np.uint64)
+        block, part, split = t["block"].to_numpy(), t["part"].to_numpy(), t["split"].to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
+        sizes = np.diff(np.r_[first, len(ids)])
+        small = np.repeat(sizes <= SMALL, sizes)
+        size, place = np.repeat(sizes, sizes), np.arange(len(ids)) - np.repeat(first, sizes)
+        found = list(_small_groups(place, np.where(small, size, 0), n, bits))
+        i, j, tight = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+        loose = np.zeros(len(ids), dtype=bool)
+        loose[j[tight.astype(bool)]] = True
+        out = [(i, j, tight)]
+        for at, count in zip(first[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            more, heads = _large_group(n[at : at + count], bits[at : at + count])
+            out += [(a + at, b + at, c) for a, b, c in more]
+            loose[at : at + count] = True
+            loose[at + heads] = False
+        i, j, tight = (np.concatenate([f[k] for f in out]) for k in range(3))
+        keep = ~loose[i]
+        i, j, tight = i[keep], j[keep], tight[keep].astype(bool)
+        none = pa.nulls(len(i), pa.int64())
+        for at in range(0, len(i), 1 << 16):
+            k = slice(at, at + (1 << 16))
+            none = pa.nulls(len(i[k]), pa.int64())
+            yield pa.record_batch({"doc_id_a": pa.array(ids[i[k]]), "doc_id_b": pa.array(ids[j[k]]), "tight": pa.array(tight[k]), "block": none, "doc_id": none, "n_words": none.cast(pa.int32()), **dict.fromkeys(BITS, none)})
+        heads = np.flatnonzero(split & ~loose)
+        if len(heads):
+            rows = t.take(pa.array(heads)).combine_chunks()
+            none = pa.nulls(len(heads), pa.int64())
+            yield pa.record_batch({"doc_id_a": none, "doc_id_b": none, "tight": none.cast(pa.bool_()), **{c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in ["block", *PAYLOAD]}})
+
     for b in batches:
-        left, right, tight = [], [], []
-        both = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).view(np.uint64)
-        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), both[:, 0].tolist(), both[:, 1].tolist(), b.column(4).to_pylist(), strict=True)
-        for k, d, w1, w2, n in rows:
-            w = w1 << 64 | w2
-            if k != block:
-                block, ids, bits, sizes = k, [d], [w], [n]
-                many, long = many[:0], long[:0]
-                continue
-            heads = len(ids)
-            if heads < 64:
-                near = [(ids[i], c) for i, v in enumerate(bits) if abs(n - sizes[i]) * PART <= max(n, sizes[i]) and (c := (v ^ w).bit_count()) <= fp.MOST_DIFFERENT]
-            else:
-                if len(many) < heads:  # room for as many again
-                    many, long = np.zeros((2 * heads, 2), dtype=np.uint64), np.zeros(2 * heads, dtype=np.int64)
-                    many[:heads] = [[v >> 64, v & (1 << 64) - 1] for v in bits]
-                    long[:heads] = sizes
-                apart = np.bitwise_count(many[:heads] ^ np.array([w1, w2], dtype=np.uint64)).sum(axis=1)
-                fits = np.abs(long[:heads] - n) * PART <= np.maximum(long[:heads], n)
-                near = [(ids[i], int(apart[i])) for i in np.flatnonzero(fits & (apart <= fp.MOST_DIFFERENT))]
-            for i, c in near:
-                left.append(i)
-                right.append(d)
-                tight.append(c <= TIGHT)
-            if not any(c <= TIGHT for _, c in near):
-                ids.append(d)
-                bits.append(w)
-                sizes.append(n)
-                if len(many) > heads:
-                    many[heads], long[heads] = (w1, w2), n
-        yield pa.record_batch({"doc_id_a": pa.array(left, pa.int64()), "doc_id_b": pa.array(right, pa.int64()), "tight": pa.array(tight, pa.bool_())})
-
-
-def batch_pairs(prints: DataFrame) -> DataFrame:
+        if not b.num_rows:
+            continue
+        last = (b["block"][b.num_rows - 1].as_py(), b["part"][b.num_rows - 1].as_py())
+        begun = pc.and_(pc.equal(b["block"], last[0]), pc.equal(b["part"], last[1])).to_numpy(zero_copy_only=False)
+        cut = int(begun.argmax())
+        if cut or (kept and (kept[0]["block"][0].as_py(), kept[0]["part"][0].as_py()) != last):
+            yield from pairs_of(pa.Table.from_batches([*kept, b.slice(0, cut)]))
+            kept = []
+        kept.append(b.slice(cut))
+    if kept:
+        yield from pairs_of(pa.Table.from_batches(kept))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """``_near`` over groups of (block, part)."""
+    rows = rows.select("block", "part", "split", *PAYLOAD)
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "doc_id").mapInArrow(_near, _NEAR)
+
+
+def batch_pairs(prints: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """doc_id_a < doc_id_b, tight: posts of one batch with a common block and few differing bits.
 
-    The first post of each block is met by a join, which takes near-copies of it out of large blocks without gathering
-    them; the others of blocks with more than two are compared with the heads of their block in one sorted pass. A post that is tight to an earlier one
-    of a block may lack comparisons within that block.
+    A hot block is split into parts by the hash of doc_id; what is left of near-copies in each part (its heads) meets again,
+    every two parts in a task of their own. A post that is tight to an earlier one of a block may lack comparisons within
+    that block.
     """
     rows = block_rows(prints)
-    first = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bits1", "bits2", "n_words")).alias("first")).where("n > 1")
-    met = rows.join(first, "block").where("doc_id > first.doc_id")
-    met = met.withColumn("apart", _apart(F.col("bits1"), F.col("bits2"), F.col("first.bits1"), F.col("first.bits2")))
-    met = met.withColumn("fits", _fit(F.col("n_words"), F.col("first.n_words")))
-    with_first = met.where(F.col("fits") & (F.col("apart") <= fp.MOST_DIFFERENT)).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), (F.col("apart") <= TIGHT).alias("tight"))
-    others = met.where((~F.col("fits") | (F.col("apart") > TIGHT)) & (F.col("n") > 2)).select("block", "doc_id", "bits1", "bits2", "n_words")
-    with_heads = others.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_heads, "doc_id_a bigint, doc_id_b bigint, tight boolean")
-    return with_first.unionByName(with_heads).groupBy("doc_id_a", "doc_id_b").agg(F.max("tight").alias("tight"))
-
-
-def pairs_with(some: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id_a < doc_id_b: the posts of ``some`` (prints) with every post that shares a block and is close."""
-    one = block_rows(some).select("block", F.col("doc_id").alias("one"), F.col("bits1").alias("one1"), F.col("bits2").alias("one2"), F.col("n_words").alias("one_n"))
-    met = block_rows(prints).join(one, "block").where((F.col("doc_id") != F.col("one")) & _fit(F.col("n_words"), F.col("one_n")))
-    met = met.where(_apart(F.col("bits1"), F.col("bits2"), F.col("one1"), F.col("one2")) <= fp.MOST_DIFFERENT)
-    return met.select(F.least("doc_id", "one").alias("doc_id_a"), F.greatest("doc_id", "one").alias("doc_id_b")).distinct()
+    if hot is None:
+        near = _within(rows.select("*", F.lit(0).alias("part"), F.lit(False).alias("split")))
+    else:
+        marked = rows.join(F.broadcast(hot), "block", "left")
+        part = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int")
+        near = written(_within(marked.select("*", part.alias("part"), F.col("salts").isNotNull().alias("split"))))
+        heads = near.where("doc_id is not null").select("block", *PAYLOAD)
+        again = heads.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.lit(1)).cast("int").alias("salts"))
+        part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts")).cast("int")
+        placed = heads.join(F.broadcast(again), "block").withColumn("own", part)
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        two = F.least("own", "other") * F.col("salts") + F.greatest("own", "other")
+        near = near.unionByName(_within(placed.select("*", two.alias("part"), F.lit(False).alias("split"))))
+    return near.where("doc_id_a is not null").groupBy("doc_id_a", "doc_id_b").agg(F.max("tight").alias("tight"))
+
+
+def pairs_with(some: DataFrame, prints: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """doc_id_a < doc_id_b: the posts of ``some`` (prints) with every post that shares a block and may be a repeat."""
+    rows = block_rows(prints)
+    one = block_rows(some)
+    met = one.select("block", *[F.col(c).alias(f"old_{c}") for c in PAYLOAD])
+    both = salted_join(rows, met, "block", [F.col("doc_id")], hot) if hot is not None else rows.join(met, "block")
+    both = both.where((F.col("doc_id") != F.col("old_doc_id")) & may_repeat("n_words", BITS, "old_n_words", [f"old_{w}" for w in BITS]))
+    return both.select(F.least("doc_id", "old_doc_id").alias("doc_id_a"), F.greatest("doc_id", "old_doc_id").alias("doc_id_b")).distinct()
 
 
 def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame) -> DataFrame:
@@ -194,54 +306,109 @@ def settle(edges: DataFrame) -> DataFrame:
     follow one another.
     """
     repeats, left = None, edges
-    while not left.isEmpty():
+    while True:
         later = left.select(F.col("doc_id_b").alias("doc_id_a")).distinct()
         found = written(left.join(later, "doc_id_a", "left_anti").select("doc_id_b").distinct())
+        if found.isEmpty():
+            break
         repeats = found if repeats is None else repeats.unionByName(found)
-        left = left.join(found, "doc_id_b", "left_anti").join(found.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti")
-        left = written(left)
+        before = left
+        left = written(left.join(found, "doc_id_b", "left_anti").join(found.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti"))
+        if before is not edges:
+            discard(before)
+        if left.isEmpty():
+            break
     if repeats is None:
         return edges.select("doc_id_a", "doc_id_b")
-    return written(_nearest(edges.join(repeats.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti")))
+    return _nearest(edges.join(repeats.withColumnRenamed("doc_id_b", "doc_id_a"), "doc_id_a", "left_anti"))
 
 
-def resolve(prints: DataFrame, words: DataFrame) -> DataFrame:
+def resolve(prints: DataFrame, words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """doc_id_a, doc_id_b of the repeats within one batch.
 
     Posts tight to another were not compared with all. Those of them that turn out as accepted are compared with every
     post that shares a block, and the batch is settled again, until no such post is left.
     """
-    pairs = written(batch_pairs(prints))
+    pairs = written(batch_pairs(prints, hot))
     edges = written(verified(pairs.select("doc_id_a", "doc_id_b"), words, words))
-    tight = written(pairs.where("tight").select(F.col("doc_id_b").alias("doc_id")).distinct())
+    tight = pairs.where("tight").select(F.col("doc_id_b").alias("doc_id")).distinct()
     while True:
-        repeats = settle(edges)
-        unsure = written(tight.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+        repeats = written(settle(edges))
+        unsure = tight.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
         if unsure.isEmpty():
             return repeats
+        unsure = written(unsure)
         some = prints.join(unsure, "doc_id", "left_semi")
-        more = pairs_with(some, prints).join(pairs, ["doc_id_a", "doc_id_b"], "left_anti")
+        more = pairs_with(some, prints, hot).join(pairs, ["doc_id_a", "doc_id_b"], "left_anti")
+        before = edges
         edges = written(edges.unionByName(verified(written(more), words, words)).distinct())
+        discard(before)
         tight = written(tight.join(unsure, "doc_id", "left_anti"))
 
 
 class Store:
     """Accepted posts in a folder: ``frequent`` (fixed at the first batch), ``words`` and ``blocks`` (one part a batch).
 
-    A batch counts from its empty marker in ``committed`` on, which is made after both of its parts. A store opened on a
-    folder goes on from the batches committed there; parts without a marker are of a delivery that failed and are
-    written anew. One writer at a time.
+    ``blocks`` lies in buckets by block and ``words`` in buckets by doc_id, so lookups move only a batch's rows. A commit
+    names the parts that count; one follows the other, and each is made after its parts. A store opened on a folder goes on
+    from its last commit; parts that no commit names are of a delivery that failed and are removed. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    _TABLES = {"words": (_WORDS_SQL, "doc_id"), "blocks": (f"block bigint, doc_id bigint, n_words int, {_BITS_SQL}", "block")}
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = STORE_BUCKETS):
         self.spark, self.folder = spark, folder or new_folder(spark)
+        self.buckets = self._head().get("buckets", buckets)
 
-    def committed(self) -> list[int]:
-        """Numbers of the batches in the folder, read anew each time."""
-        return sorted(int(name) for name in names_in(self.spark, f"{self.folder}/committed") if name.isdigit())
+    def _head(self) -> dict:
+        """The last commit: number, parts, buckets; read anew each time."""
+        numbers = sorted(n for n in names_in(self.spark, f"{self.folder}/commits") if n.endswith(".json") and n[0].isdigit())
+        return json.loads(get_text(self.spark, f"{self.folder}/commits/{numbers[-1]}")) if numbers else {"number": 0, "parts": []}
 
-    def _table(self, name: str, batches: list[int]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.folder}/{name}/{k}" for k in batches])
+    def committed(self) -> list[int]:
+        """Numbers of the parts that count."""
+        return self._head()["parts"]
+
+    def _name(self, table: str) -> str:
+        """The table's name in the session's catalog, where it is entered if it is not there yet."""
+        columns, key = self._TABLES[table]
+        name = f"siltstone_{table}_{hashlib.md5(self.folder.encode()).hexdigest()[:16]}"
+        if not self.spark.catalog.tableExists(name):
+            at = f"{self.folder}/{table}".replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, batch int) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        return name
+
+    def _table(self, table: str, parts: list[int]) -> DataFrame:
+        name = self._name(table)
+        self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return self.spark.table(name).where(F.col("batch").isin(parts)).drop("batch")
+
+    def _add(self, table: str, part: int, rows: DataFrame) -> None:
+        name, (columns, key) = self._name(table), self._TABLES[table]
+        self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (batch = {part})")
+        drop_folder(self.spark, f"{self.folder}/{table}/batch={part}")
+        names = [c.split(" ")[0] for c in columns.split(", ")]
+        rows.select(*names, F.lit(part).alias("batch")).repartition(self.buckets, key).write.insertInto(name)
+
+    def _commit(self, head: dict, parts: list[int]) -> None:
+        number = head["number"] + 1
+        commit = {"number": number, "parts": parts, "buckets": self.buckets}
+        if not new_text(self.spark, f"{self.folder}/commits/{number:09d}.json", json.dumps(commit)):
+            raise RuntimeError(f"commit {number} of {self.folder} was made by another writer")
+
+    def compact(self) -> None:
+        """Puts all parts into one, so that lookups open few files. The old parts stay for readers until the next ``compact``."""
+        head = self._head()
+        if len(head["parts"]) < 2:
+            return
+        part = head["parts"][-1] + 1
+        for table in self._TABLES:
+            self._add(table, part, self._table(table, head["parts"]))
+        self._commit(head, [part])
+        for table in self._TABLES:
+            for name in names_in(self.spark, f"{self.folder}/{table}"):
+                if name.startswith("batch=") and int(name[6:]) < head["parts"][0]:
+                    drop_folder(self.spark, f"{self.folder}/{table}/{name}")
 
     def append(self, posts: DataFrame, keep: bool = True) -> DataFrame:
         """doc_id_a, doc_id_b for every post b of the batch that repeats an accepted post a; the rest is accepted.
@@ -253,37 +420,34 @@ class Store:
         """
         words = written(post_words(posts))
         groups = words.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-        hot = hot_keys(groups, "digest", "n")
-        copies = salted_join(words.select("doc_id", "digest"), groups.select("digest", "first"), "digest", [F.col("doc_id")], hot)
+        copies = salted_join(words.select("doc_id", "digest"), groups.select("digest", "first"), "digest", [F.col("doc_id")], hot_keys(groups, "digest", "n"))
         copies = written(copies.where("doc_id <> first").select("doc_id", "first"))
         own = words.join(copies, "doc_id", "left_anti")
-        batches = self.committed()
-        weighed = frequent_words(words) if not batches else self.spark.read.parquet(f"{self.folder}/frequent")
-        if keep and not batches:  # nothing committed was fingerprinted with what a failed first batch may have left
+        head = self._head()
+        parts = head["parts"]
+        weighed = frequent_words(words) if not parts else self.spark.read.parquet(f"{self.folder}/frequent")
+        if keep and not parts:  # nothing committed was fingerprinted with what a failed first batch may have left
             weighed = written(weighed, f"{self.folder}/frequent")
         frequent = {r["word"]: r["part"] for r in weighed.collect()}
         prints = written(fingerprinted(own, frequent))
-        if not batches:
-            repeats = resolve(prints, words)
+        hot = hot_blocks(block_rows(prints))
+        if not parts:
+            repeats = resolve(prints, words, hot)
             accepted = prints.join(repeats.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
         else:
-            pairs = written(history_pairs(prints, self._table("blocks", batches)))
-            edges = written(verified(pairs, self._table("words", batches), words))
-            met = written(edges.select(F.col("doc_id_b").alias("doc_id")).distinct())
+            edges = written(verified(written(history_pairs(prints, self._table("blocks", parts), hot)), self._table("words", parts), words))
+            met = edges.select(F.col("doc_id_b").alias("doc_id")).distinct()
             fresh = prints.join(met, "doc_id", "left_anti")
-            more = resolve(fresh, words)
-            accepted = written(fresh.join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti"))
+            more = resolve(fresh, words, hot)
+            accepted = fresh.join(more.select(F.col("doc_id_b").alias("doc_id")), "doc_id", "left_anti")
             # a post that repeats history may be nearer to one that its own batch brought
-            pairs = written(history_pairs(prints.join(met, "doc_id", "left_semi"), block_rows(accepted)))
+            pairs = written(history_pairs(prints.join(met, "doc_id", "left_semi"), block_rows(accepted), hot))
             repeats = written(_nearest(edges.unionByName(verified(pairs, words, words))).unionByName(more))
         if keep:
-            accepted = written(accepted.select("doc_id"))
-            number = batches[-1] + 1 if batches else 0
-            at = f"{self.folder}/{{}}/{number}"
-            words.join(accepted, "doc_id", "left_semi").select("doc_id", "words").write.mode("overwrite").parquet(at.format("words"))
-            block_rows(prints.join(accepted, "doc_id", "left_semi")).write.mode("overwrite").parquet(at.format("blocks"))
-            if not new_file(self.spark, at.format("committed")):
-                raise RuntimeError(f"batch {number} of {self.folder} was committed by another writer")
+            part = parts[-1] + 1 if parts else 0
+            self._add("words", part, words.join(accepted.select("doc_id"), "doc_id", "left_semi"))
+            self._add("blocks", part, block_rows(accepted))
+            self._commit(head, [*parts, part])
         of_copies = salted_join(
             copies, repeats.select(F.col("doc_id_b").alias("first"), "doc_id_a"), "first", [F.col("doc_id")],
             hot_keys(copies.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "first", "n"), "left",

@@ -1,9 +1,10 @@
 """Fingerprints of a post's own words.
 
-A fingerprint consists of weighted word samples: of each of many random orders of all words, the first word that the post
-has, where frequent words come late. Two posts share a sample with the probability of their weighted word overlap.
-Groups of samples form the blocks that the rotated tables are keyed by, and one bit of every sample forms the bit string
-whose difference is counted before any text is compared.
+A fingerprint has two parts. Weighted word samples (of each of many random orders of all words, the first word that the post
+has, where frequent words come late) form a bit string whose blocks key the rotated tables: two posts share a sample with the
+probability of their weighted word overlap. The second part counts the words that fall into each of many buckets, up to two,
+in unary, so the bits in which two posts differ are the differences of their counts: an edited word changes at most two of
+them, and posts that differ in more bits than that allows are no repeats. The bit difference never drops a repeat.
 """
 
 from __future__ import annotations
@@ -13,17 +14,21 @@ import math
 import numpy as np
 import xxhash
 
-#: Samples in a block, blocks (one rotated table each), and bits compared.
-SAMPLES, BLOCKS, BITS = 3, 43, 128
-#: Two posts are compared word by word when at most this many of the BITS differ (random posts differ in about half).
-MOST_DIFFERENT = 48
+#: Samples in a block, and blocks (one rotated table each).
+SAMPLES, BLOCKS = 3, 40
+#: Buckets of the counted words; a count takes two bits, so a fingerprint has 2 * BUCKETS bits, in WIDTH numbers of 64.
+BUCKETS = 256
+WIDTH = 2 * BUCKETS // 64
 #: Words in fewer posts than 1/RARE_PART count as rare and weigh most; the rest weigh less the more frequent they are.
 #: At most RARE_PART times the mean number of words of a post can be frequent. The least weight is high enough that
 #: near-copies of one post still meet when they are so many that all its words are frequent.
 RARE_PART, LEAST_WEIGHT = 2000, 0.4
 
 _SEEN_WORDS = 30_000
+#: Words handled at a time; longer posts are taken in parts of it.
+_WORDS = 8192
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -39,44 +44,75 @@ class Fingerprinter:
         """``frequent``: the part of all posts that has the word, for the frequent words."""
         scale = math.log(RARE_PART)
         self.weights = {w: max(LEAST_WEIGHT, min(1.0, -math.log(p) / scale)) for w, p in frequent.items()}
-        self.seen: dict[str, tuple[np.ndarray, int]] = {}
-        self.places = np.arange(SAMPLES * BLOCKS)
         self.steps = np.arange(1, SAMPLES * BLOCKS + 1, dtype=np.uint64) * _GOLD
         self.position = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
         self.block = _mixed(np.arange(BLOCKS, dtype=np.uint64) + np.uint64(1 << 32))
-
-    def _word(self, word: str) -> tuple[np.ndarray, int]:
-        """The word's place in each random order (exponential variates with the weight as rate) and its code."""
-        at = self.seen.get(word)
-        if at is None:
-            data = word.encode()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.order = np.zeros((1024, SAMPLES * BLOCKS), dtype=np.uint64)
+        self.bucket = np.zeros(1024, dtype=np.int64)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of ``order`` and ``bucket`` that hold the words.
+
+        ``order`` has the word's place in each random order (an exponential variate with the weight as rate; positive
+        floats compare as their bits do) above its code, so that the least number names the first word.
+        """
+        if len(self.row) > _SEEN_WORDS:
+            self._forget()
+        row = self.row
+        new = [w for w in dict.fromkeys(words) if w not in row]
+        if new:
+            start, end = len(row), len(row) + len(new)
+            if end > len(self.bucket):
+                more = max(end, 2 * len(self.bucket)) - len(self.bucket)
+                self.order = np.concatenate([self.order, np.zeros((more, self.order.shape[1]), dtype=np.uint64)])
+                self.bucket = np.concatenate([self.bucket, np.zeros(more, dtype=np.int64)])
+            codes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in new], dtype=np.uint64)
+            weights = np.array([self.weights.get(w, 1.0) for w in new])
             with np.errstate(over="ignore"):
-                z = _mixed(np.uint64(xxhash.xxh3_64_intdigest(data)) + self.steps)
+                z = _mixed(codes[:, None] + self.steps)
             u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-            at = (-np.log(u) / self.weights.get(word, 1.0)).astype(np.float32), xxhash.xxh3_64_intdigest(data, 1)
-            if len(self.seen) >= _SEEN_WORDS:
-                self.seen.clear()
-            self.seen[word] = at
-        return at
-
-    def __call__(self, words: list[str]) -> tuple[list[int], int, int]:
-        """(block keys, first 64 bits, last 64 bits), all as signed 64-bit numbers."""
-        own = sorted(set(words))
-        best, first = None, None
-        for at in range(0, len(own), 256):  # long posts do not need one large matrix
-            part = [self._word(w) for w in own[at : at + 256]]
-            order = np.stack([p[0] for p in part])
-            i = order.argmin(axis=0)
-            low, codes = order[i, self.places], np.array([p[1] for p in part], dtype=np.uint64)[i]
-            if best is None:
-                best, first = low, codes
-            else:
-                better = low < best
-                best[better], first[better] = low[better], codes[better]
+            place = (-np.log(u) / weights[:, None]).astype(np.float32).view(np.uint32).astype(np.uint64)
+            self.order[start:end] = place << np.uint64(32) | (_mixed(codes) & _LOW)[:, None]
+            self.bucket[start:end] = (codes >> np.uint64(48)).astype(np.int64) % BUCKETS
+            row.update(zip(new, range(start, end), strict=True))
+        return np.array([row[w] for w in words], dtype=np.int64)
+
+    def __call__(self, posts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(block keys, bits) of each post, as signed 64-bit numbers in BLOCKS and WIDTH columns."""
+        first = np.full((len(posts), SAMPLES * BLOCKS), np.iinfo(np.uint64).max, dtype=np.uint64)
+        counts = np.zeros((len(posts), BUCKETS), dtype=np.int64)
+        waiting: list[tuple[int, list[str]]] = []
+        room = _WORDS
+
+        def take() -> None:
+            of = np.repeat([i for i, _ in waiting], [len(w) for _, w in waiting])
+            rows = self._rows([w for _, part in waiting for w in part])
+            own, nth = np.unique(of, return_inverse=True)
+            counts[own] += np.bincount(nth * BUCKETS + self.bucket[rows], minlength=len(own) * BUCKETS).reshape(-1, BUCKETS)
+            each = np.unique(nth * len(self.bucket) + rows)
+            nth, rows = each // len(self.bucket), each % len(self.bucket)
+            starts = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]])
+            first[own] = np.minimum(first[own], np.minimum.reduceat(self.order[rows], starts, axis=0))
+
+        for i, words in enumerate(posts):
+            for at in range(0, len(words), _WORDS):
+                part = words[at : at + _WORDS]
+                if len(part) > room and waiting:
+                    take()
+                    waiting, room = [], _WORDS
+                waiting.append((i, part))
+                room -= len(part)
+        if waiting:
+            take()
         with np.errstate(over="ignore"):
-            blocks = _mixed((first.reshape(BLOCKS, SAMPLES) * self.position).sum(axis=1, dtype=np.uint64) + self.block)
-        bits = np.packbits((first[:BITS] & np.uint64(1)).astype(np.uint8)).view(">i8")
-        return blocks.view(np.int64).tolist(), int(bits[0]), int(bits[1])
+            samples = (first & _LOW).reshape(len(posts), BLOCKS, SAMPLES)
+            blocks = _mixed((samples * self.position).sum(axis=2, dtype=np.uint64) + self.block)
+        bits = np.packbits(np.concatenate([counts >= 1, counts >= 2], axis=1), axis=1).view(np.int64)
+        return blocks.view(np.int64), bits.reshape(len(posts), WIDTH)
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int | None:

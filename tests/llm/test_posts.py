@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltstone.llm import dedup
 from siltstone.llm import fingerprints as fp
@@ -33,6 +35,9 @@ def test_sentences():
     assert sentences_of("One two 3.5 three. Four five! ¿Six? \"Seven.\" and\neight\n\nnine") == ["One two 3.5 three.", "Four five!", "¿Six?", "\"Seven.\" and eight", "nine"]
 
 
+WORDS = [f"w{i}" for i in range(60)]
+
+
 def slow_distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -55,19 +60,38 @@ def test_word_distance(a, b, most):
 def test_edits_by_rare_words_are_met(part, least):
     rng = random.Random(part)
     frequent = {f"c{i}": 0.5 / (i + 1) for i in range(300)}
-    make, met, n = fp.Fingerprinter(frequent), 0, 400
+    make, posts, n = fp.Fingerprinter(frequent), [], 400
     for k in range(n):
         post = rng.choices(list(frequent), [1 / (i + 5) for i in range(300)], k=160) + [f"w{k}x{i}" for i in range(40)]
         rng.shuffle(post)
         other = list(post)
         for at in rng.sample(range(200), 200 // part):
             other[at] = f"q{rng.randrange(10**9)}"
-        a, b = make(post), make(other)
-        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[1:], b[1:], strict=True))
-        met += apart <= fp.MOST_DIFFERENT and any(x == y for x, y in zip(a[0], b[0], strict=True))
+        posts += [post, other]
+    blocks, bits = make(posts)
+    apart = np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(axis=1)
+    assert (apart <= 2 * (200 // part)).all()
+    met = (blocks[::2] == blocks[1::2]).any(axis=1).sum()
     assert met >= least * n, met / n
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), min_size=1, max_size=40), st.lists(st.sampled_from(WORDS), min_size=1, max_size=40))
+def test_bits_never_drop_a_repeat(a, b):
+    _, bits = fp.Fingerprinter({})([a, b])
+    assert np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum() <= 2 * slow_distance(a, b)
+
+
+def test_long_posts_are_fingerprinted_in_parts(monkeypatch):
+    rng = random.Random(9)
+    posts = [[f"w{rng.randrange(500)}" for _ in range(rng.choice([1, 12, 300, 2000]))] for _ in range(40)]
+    whole = fp.Fingerprinter({"w1": 0.3})(posts)
+    monkeypatch.setattr(fp, "_WORDS", 50)
+    monkeypatch.setattr(fp, "_SEEN_WORDS", 100)
+    parts = fp.Fingerprinter({"w1": 0.3})(posts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 POSTS = "doc_id long, text string, author string"
 
 
@@ -132,20 +156,31 @@ def test_store_is_opened_again(spark, tmp_path):
     df = spark.createDataFrame(posts, POSTS)
     folder, parts = f"file://{tmp_path}/store", {}
     for low, high in ((0, 200), (200, 300), (300, 10**9)):
-        store = dedup.Store(spark, folder)
+        for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("siltstone_")]:
+            spark.sql(f"DROP TABLE {name}")  # as in another session
+        store = dedup.Store(spark, folder, 8 if low else 4)
+        assert store.buckets == 4
         store.append(df.where("doc_id < 50"), keep=False)
         before = {k: rows(spark.read.parquet(f"{folder}/{k}/*")) for k in ("words", "blocks")} if low else {}
         frequent = rows(spark.read.parquet(f"{folder}/frequent")) if low else []
         if low == 200:  # what a failed delivery leaves
-            df.selectExpr("doc_id", "text AS words").write.parquet(f"{folder}/words/1")
+            df.selectExpr("doc_id", "text AS words").write.parquet(f"{folder}/words/batch=1")
         got = store.append(df.where(f"doc_id >= {low} and doc_id < {high}")).collect()
         parts |= {r["doc_id_b"]: r["doc_id_a"] for r in got}
         for k, held in before.items():
             assert set(held) < set(rows(spark.read.parquet(f"{folder}/{k}/*")))
         assert not low or rows(spark.read.parquet(f"{folder}/frequent")) == frequent
     assert parts == want
-    assert dedup.Store(spark, folder).committed() == [0, 1, 2]
-    assert sorted(r[0] for r in rows(spark.read.parquet(f"{folder}/words/*"))) == sorted(i for i, t, a in posts if i not in want and len(own_words(t, a)) >= dedup.LEAST_WORDS)
+    store = dedup.Store(spark, folder)
+    assert store.committed() == [0, 1, 2]
+    plan = dedup.history_pairs(spark.createDataFrame([], dedup.PRINTS), store._table("blocks", [0, 1, 2]))
+    held = rows(store._table("blocks", [0, 1, 2]))
+    for _ in range(2):
+        store.compact()
+    assert store.committed() == [3] and rows(store._table("blocks", [3])) == held and plan.count() == 0
+    again = df.where("doc_id >= 300").withColumn("doc_id", F.col("doc_id") + 10**6)
+    assert {r["doc_id_b"] for r in store.append(again, keep=False).collect()} == {i + 10**6 for i, t, a in posts if i >= 300 and len(own_words(t, a)) >= dedup.LEAST_WORDS}
+    assert sorted(r[0] for r in rows(store._table("words", [3]))) == sorted(i for i, t, a in posts if i not in want and len(own_words(t, a)) >= dedup.LEAST_WORDS)
 
 
 def documents(spark, folder, posts):
@@ -194,6 +229,41 @@ def test_many_copies_and_near_copies_of_one_post(spark):
     assert got == want and len(got) == 199 - 1
 
 
+def test_hot_blocks_are_split(spark, monkeypatch):
+    rng = random.Random(4)
+    posts = []
+    for k in range(3):
+        base = [f"b{k}x{i}" for i in range(30)]
+        for i in range(120):
+            w = list(base)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(30)] = f"y{rng.randrange(10**6)}"
+            posts.append((len(posts) + 1, " ".join(w), None))
+    rng.shuffle(posts)
+    want = brute(posts)
+    df = spark.createDataFrame(posts, POSTS)
+    for size in (7, 70):
+        monkeypatch.setattr(dedup, "BLOCK_ROWS", size)
+        monkeypatch.setattr(dedup, "SMALL", 5)
+        assert {r["doc_id_b"]: r["doc_id_a"] for r in dedup.Store(spark).append(df, keep=False).collect()} == want
+        store = dedup.Store(spark)
+        got = store.append(df.where("doc_id <= 150")).collect() + store.append(df.where("doc_id > 150")).collect()
+        assert {r["doc_id_b"]: r["doc_id_a"] for r in got} == want
+
+
+def test_lookup_does_not_move_history(spark, tmp_path):
+    df = spark.createDataFrame(corpus(40), POSTS)
+    store = dedup.Store(spark, f"file://{tmp_path}/s", 4)
+    store.append(df)
+    prints = dedup.fingerprinted(dedup.post_words(df), {})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = dedup._lookup(dedup.block_rows(prints), store._table("blocks", [0]), None)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
 def test_settle_follows_the_order(spark):
     edges = spark.createDataFrame([(1, 2, 3), (2, 3, 1), (3, 4, 1), (1, 5, 2), (3, 5, 1)], "doc_id_a long, doc_id_b long, distance int")
     assert rows(dedup.settle(edges)) == [(1, 2), (3, 4), (3, 5)]
