@@ -1,14 +1,17 @@
 """Filling fixed-capacity containers with items by bin completion.
 
 Items matter only by size, so the search runs over the histogram of sizes, which a capacity bounds whatever the number of
-items. Around the largest size left, undominated fillings are enumerated; the best is applied as often as the counts
-allow. Branch and bound over these choices is pruned by the waste still affordable, with best fit as first incumbent.
-Items then find their container from their rank within their size, without being gathered anywhere.
+items. Around the largest size left, undominated fillings are enumerated, least waste first, each when it is asked for; the
+first is applied as often as the counts allow. Branch and bound over all of these choices is pruned by the waste still
+affordable, with best fit as first incumbent. Items then find their container from their rank within their size, without
+being gathered anywhere.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +20,9 @@ from siltstone.llm import bpe
 from siltstone.llm.tokens import token_counts
 from siltstone.session import written
 
-#: Choices that the branch and bound may look at, and candidate sets per filling. They bound the driver's work, not the items.
-NODES, FILL_NODES, WIDTH = 20_000, 600, 3
+#: Steps that the branch and bound may take, looked-at fillings included. They bound the driver's work, not the items: where they run out the best solution so
+#: far holds, and ``least_containers`` of the summary shows how far it may be from the best.
+NODES = 50_000
 #: Parts into which the items of one size are split for ranking.
 SALTS = 1024
 
@@ -45,111 +49,183 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return out
 
 
-def fillings(left: dict[int, int], sizes: list[int], capacity: int) -> list[tuple[int, Pattern]]:
-    """(waste, pattern) of undominated fillings around the largest size, least waste first, at most WIDTH.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Containers that any solution needs: the volume, or items above the rest of a threshold, which go into one each, plus what those above the
+    half leave no room for."""
+    sizes = sorted(s for s, n in counts.items() if n)
+    total = sum(s * counts[s] for s in sizes)
+    best = -(-total // capacity)
+    for k in [0, *[s for s in sizes if 2 * s <= capacity]]:
+        huge = sum(counts[s] for s in sizes if s > capacity - k)
+        large = [s for s in sizes if capacity - k >= s and 2 * s > capacity]
+        rest = sum(s * counts[s] for s in sizes if k <= s and 2 * s <= capacity)
+        n_large = sum(counts[s] for s in large)
+        room = n_large * capacity - sum(s * counts[s] for s in large)
+        best = max(best, huge + n_large + max(0, -(-(rest - room) // capacity)))
+    return best
+
 
-    Not all of them: enumeration stops after FILL_NODES candidate sets and at a filling without waste.
+def _dominated(chosen: dict[int, int], spare: dict[int, int], sizes: list[int], waste: int) -> bool:
+    """Whether swapping some of the items (or none) for one unused item fills the container no less and leaves no more over.
 
-    ``sizes`` has the sizes left, descending. An item that exactly fills the room dominates every other filling.
+    ``chosen`` are the items beside the largest. Sums of at least one and of at least two of them are kept as bit sets.
+    """
+    one, two = 0, 0
+    for s, n in chosen.items():
+        for _ in range(n):
+            two |= two << s | one << s
+            one |= one << s | 1 << s
+    for x in sizes:
+        if spare[x] <= chosen.get(x, 0):
+            continue
+        if x <= waste:
+            return True
+        low = x - waste
+        if waste and one >> low & ((1 << waste) - 1) or two >> x & 1:
+            return True
+    return False
+
+
+class Steps:
+    """What is left of the steps of a search."""
+
+    def __init__(self, n: int):
+        self.left = n
+
+    def take(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise OutOfSteps
+
+
+class OutOfSteps(Exception):
+    pass
+
+
+def fillings(left: dict[int, int], sizes: list[int], capacity: int, steps: Steps) -> Iterator[tuple[int, Pattern]]:
+    """(waste, pattern) of all undominated fillings around the largest size, least waste first, each found when asked for.
+
+    ``sizes`` has the sizes left, descending. Each filling looked at is a step. Sums that can still be reached are kept as bit sets, so nothing is tried in vain.
     """
     top = sizes[0]
     room = capacity - top
     spare = dict(left)
     spare[top] -= 1
-    if room == 0 or spare.get(room, 0):
-        return [(0, ((top, 1),) if not room else (((top, 2),) if room == top else ((top, 1), (room, 1))))]
     fits = [s for s in sizes if s <= room and spare[s]]
-    if not fits:
-        return [(room, ((top, 1),))]
-    smallest, found, nodes = fits[-1], [], 0
-    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
-    worst = capacity + 1
-    while stack and nodes < FILL_NODES:
-        i, r, chosen = stack.pop()
-        nodes += 1
-        while i < len(fits) and fits[i] > r:
-            i += 1
-        if i == len(fits) or r < smallest:
-            # a filling that leaves room for an unused item is dominated by the one that takes it as well
-            taken = dict(chosen)
-            if r < smallest or not any(s <= r and spare[s] > taken.get(s, 0) for s in fits):
-                if r < worst:
-                    merged = dict(chosen)
-                    merged[top] = merged.get(top, 0) + 1
-                    found.append((r, tuple(sorted(merged.items(), reverse=True))))
-                    found.sort(key=lambda f: f[0])
-                    del found[WIDTH:]
-                    worst = found[-1][0] if len(found) == WIDTH else capacity + 1
-                    if not found[0][0]:
-                        break
-            continue
-        s = fits[i]
-        most = min(spare[s], r // s)
-        stack += [(i + 1, r - n * s, (*chosen, (s, n)) if n else chosen) for n in range(0, most + 1)]
-    return found or [(room, ((top, 1),))]
+    mask = (1 << (room + 1)) - 1
+    reach = [1] * (len(fits) + 1)
+    for i in range(len(fits) - 1, -1, -1):
+        r, n, k = reach[i + 1], min(spare[fits[i]], room // fits[i]), 1
+        while n:
+            t = min(k, n)
+            r |= r << (fits[i] * t) & mask
+            n, k = n - t, 2 * k
+        reach[i] = r
+
+    def sums(i: int, target: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not target:
+            yield ()
+            return
+        for j in range(i, len(fits)):
+            if not reach[j] >> target & 1:
+                return
+            s = fits[j]
+            for n in range(min(spare[s], target // s), 0, -1):
+                if reach[j + 1] >> (target - n * s) & 1:
+                    for rest in sums(j + 1, target - n * s):
+                        yield ((s, n), *rest)
+
+    for waste in range(room + 1):
+        if reach[0] >> (room - waste) & 1:
+            for chosen in sums(0, room - waste):
+                steps.take()
+                taken = dict(chosen)
+                if not _dominated(taken, spare, fits, waste):
+                    taken[top] = taken.get(top, 0) + 1
+                    yield waste, tuple(sorted(taken.items(), reverse=True))
+
+
+class _Choices:
+    """The choices at one state of the search: fillings as often as the counts allow, then the same fewer times.
+
+    Fillings are found in growing portions and what finding them needs is not kept, so a deep search stays small.
+    """
+
+    def __init__(self):
+        self.seen, self.portion, self.waiting, self.over = 0, 1, [], False
+
+    def next(self, left: dict[int, int], sizes: list[int], capacity: int, most: int, steps: Steps) -> tuple[int, Pattern, int] | None:
+        """The next choice whose filling wastes at most ``most``."""
+        while True:
+            if not self.waiting:
+                if self.over:
+                    return None
+                found = list(islice(fillings(left, sizes, capacity, steps), self.seen, self.seen + self.portion))
+                self.over = len(found) < self.portion or found[-1][0] > most
+                self.seen += len(found)
+                self.portion *= 8
+                often = [(w, p, min(left[s] // n for s, n in p)) for w, p in found if w <= most]
+                self.waiting = [(w, p, t) for w, p, m in reversed(often) for t in range(1, m)] + often[::-1]
+                continue
+            step = self.waiting.pop()
+            if step[0] <= most:
+                return step
 
 
 def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is filled; every item of the histogram is used exactly once.
 
-    Sizes lie between 1 and the capacity. Known to be optimal only when it meets the volume bound: fillings() cuts
-    what is tried to WIDTH fillings out of FILL_NODES candidate sets, so a search that ends within ``nodes`` may still
-    miss a better solution. Never more containers than best_fit.
+    Sizes lie between 1 and the capacity. The solution is optimal when it meets ``lower_bound`` or when the search ends
+    within ``nodes`` steps; otherwise it is the best one found. Never more containers than best_fit.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
     total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     bins = sum(t for _, t in best)
-    if bins == bound:
-        return best
     left, sizes = dict(counts), sorted(counts, reverse=True)
-
-    def choices() -> Iterator[tuple[int, Pattern, int]]:
-        for waste, p in fillings(left, sizes, capacity):
-            times = min(left[s] // n for s, n in p)
-            yield waste, p, times
-            if times > 1:
-                yield waste, p, 1
+    # states are known by sums of random numbers of 128 bits; a state met again with as many containers leads nowhere new
+    rng = random.Random(7)
+    code = {s: rng.getrandbits(128) for s in counts}
+    state, met = 0, {}
 
     def use(p: Pattern, times: int) -> None:
-        nonlocal sizes
+        nonlocal sizes, state
         for s, n in p:
             left[s] -= n * times
-        if times > 0:
-            sizes = [s for s in sizes if left[s]]
-        else:
-            sizes = sorted((s for s, n in left.items() if n), reverse=True)
+            state += n * times * code[s]
+        sizes = [s for s in sizes if left[s]] if times > 0 else sorted((s for s, n in left.items() if n), reverse=True)
 
-    stack, done, waste = [choices()], [], 0
-    while stack and nodes > 0 and bins > bound:
-        nodes -= 1
-        step = next(stack[-1], None)
+    stack, done, used, waste, steps = [_Choices()], [], 0, 0, Steps(nodes)
+    while stack and bins > bound:
+        try:
+            steps.take()
+            step = stack[-1].next(left, sizes, capacity, (bins - 1) * capacity - total - waste, steps)
+        except OutOfSteps:
+            break
         if step is None:
             stack.pop()
             if done:
                 p, times, w = done.pop()
                 use(p, -times)
-                waste -= w * times
+                used, waste = used - times, waste - w * times
             continue
         w, p, times = step
-        if waste + w * times > (bins - 1) * capacity - total:  # no better than the incumbent
-            if times == 1 or waste + w > (bins - 1) * capacity - total:
-                continue
-            times = 1
+        if waste + w * times > (bins - 1) * capacity - total:
+            continue
         use(p, times)
-        waste += w * times
-        done.append((p, times, w))
-        if not sizes:
-            best = [(q, t) for q, t, _ in done]
-            bins = sum(t for _, t in best)
-            use(p, -times)
-            waste -= w * times
-            done.pop()
+        used, waste = used + times, waste + w * times
+        if not sizes and used < bins:
+            best, bins = [*((q, t) for q, t, _ in done), (p, times)], used
+        if sizes and met.get(state, bins) > used:
+            met[state] = used
+            done.append((p, times, w))
+            stack.append(_Choices())
         else:
-            stack.append(choices())
+            use(p, -times)
+            used, waste = used - times, waste - w * times
     return best
 
 
@@ -201,11 +277,14 @@ def packed(items: DataFrame, capacities: list[tuple[int, int]], nodes: int = NOD
     ]
     found = items.sparkSession.createDataFrame(rows, "pack_no int, size int, steps array<struct<rank: bigint, container: bigint, copies: bigint>>")
     upto = Window.partitionBy("pack_no", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("pack_no", "size", "salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
+    offsets = counts.select("pack_no", "size", "salt", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
+    # each part of a size keeps the steps that its ranks lie in
+    later = F.filter("steps", lambda s: (s["rank"] > F.col("offset")) & (s["rank"] < F.col("offset") + F.col("n")))
+    at = F.element_at(F.filter("steps", lambda s: s["rank"] <= F.col("offset")), -1)
+    offsets = offsets.join(found, ["pack_no", "size"]).select("pack_no", "size", "salt", "offset", F.concat(F.array(at), later).alias("steps"))
     within = Window.partitionBy("pack_no", "size", "salt").orderBy("doc_id", "piece_no")
     ranked = pieces.where("size > 0").withColumn("nth", F.row_number().over(within) - 1).join(offsets, ["pack_no", "size", "salt"])
-    ranked = ranked.withColumn("rank", F.col("nth") + F.col("offset"))
-    placed = ranked.join(F.broadcast(found), ["pack_no", "size"])
+    placed = ranked.withColumn("rank", F.col("nth") + F.col("offset"))
     step = F.element_at(F.filter("steps", lambda s: s["rank"] <= F.col("rank")), -1)
     placed = placed.withColumn("step", step)
     container = (F.col("step.container") + F.floor((F.col("rank") - F.col("step.rank")) / F.col("step.copies"))).cast("bigint")

@@ -57,19 +57,19 @@ def test_corpus(spark):
 
 def least(items, capacity):
     """Fewest containers, by trying everything."""
-    best = [len(items)]
+    best, bound = [len(items)], -(-sum(items) // capacity)
 
     def go(k, bins):
-        if len(bins) >= best[0]:
+        if len(bins) >= best[0] or best[0] == bound:
             return
         if k == len(items):
             best[0] = len(bins)
             return
-        for i in range(len(bins)):
-            if bins[i] + items[k] <= capacity:
-                bins[i] += items[k]
-                go(k + 1, bins)
-                bins[i] -= items[k]
+        for room in {capacity - b for b in bins if b + items[k] <= capacity}:
+            i = bins.index(capacity - room)
+            bins[i] += items[k]
+            go(k + 1, bins)
+            bins[i] -= items[k]
         bins.append(items[k])
         go(k + 1, bins)
         bins.pop()
@@ -78,6 +78,44 @@ def least(items, capacity):
     return best[0]
 
 
+def containers(items, capacity):
+    counts = {s: items.count(s) for s in items}
+    assert packing.lower_bound(counts, capacity) <= least(sorted(items, reverse=True), capacity)
+    return sum(t for _, t in packing.plan(counts, capacity))
+
+
+def test_every_filling_counts():
+    assert sum(t for _, t in packing.plan({i: 1 for i in range(20, 60)}, 100, nodes=0)) == sum(t for _, t in packing.best_fit({i: 1 for i in range(20, 60)}, 100))
+    assert containers([20, 22, 28, 28, 30, 34, 41, 45, 50], 100) == 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(5, 60), min_size=8, max_size=13))
+def test_plan_is_optimal_for_larger_capacities(items):
+    assert containers(items, 100) == least(sorted(items, reverse=True), 100)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
+def test_fillings_dominate_all_others(items):
+    counts = {s: items.count(s) for s in items}
+    sizes = sorted(counts, reverse=True)
+    got = [dict(p) for _, p in packing.fillings(counts, sizes, 30, packing.Steps(10**9))]
+    rest = sorted(items, reverse=True)[1:]
+    for k in range(1 << len(rest)):  # any feasible set is dominated by one that came out: its items fit into that one's
+        some = [x for i, x in enumerate(rest) if k >> i & 1]
+        if sizes[0] + sum(some) <= 30:
+            assert any(fits_into(some, [s for s, n in {**p, sizes[0]: p[sizes[0]] - 1}.items() for _ in range(n)]) for p in got)
+    assert len({tuple(sorted(p.items())) for p in got}) == len(got)
+
+
+def fits_into(items, rooms):
+    """Whether the items can be put into the rooms, any number in each."""
+    if not items:
+        return True
+    return any(r >= items[0] and fits_into(items[1:], [*rooms[:i], r - items[0], *rooms[i + 1 :]]) for i, r in enumerate(rooms))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_plan_is_optimal_on_small_inputs(items):
