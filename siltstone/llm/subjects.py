@@ -4,6 +4,9 @@ A sentence is the average of its words' embeddings, a word the sum of its own em
 logistic output per subject, independent of the others. A post is about a subject when two of its sentences are, so the
 post's output is its second highest sentence output, in training as in scoring. Partitions train on their own rows and
 synchronise through the driver after every pass: the changes of a parameter are averaged over the partitions that touched it.
+(Gradients are thus synchronised as the sum of a pass's steps. To exchange them after every step would send the touched rows of
+the table, megabytes, some hundred times a pass through the driver, for rated rows that FIT_ROWS bounds.) A part of the rated
+posts takes no part in training; on it each subject's threshold is chosen.
 """
 
 from __future__ import annotations
@@ -23,12 +26,20 @@ BUCKETS, SIZE = 1 << 16, 16
 GRAMS = (3, 4, 5)
 #: Labelled posts that the classifier is fitted on, at most; taken by the hash of their id.
 FIT_ROWS = 20_000
-PARTITIONS, PASSES, WARM_PASSES, BATCH = 6, 16, 4, 32
+PASSES, WARM_PASSES, BATCH = 16, 4, 32
+#: Rated posts that one task trains on.
+PART_ROWS = 2000
+#: Of so many rated posts one is held out to choose thresholds.
+HELD_OUT = 6
 RATE = 0.6
 #: Part of the words left out at random in training, so that names do not explain a rating.
 DROPPED = 0.2
-#: A subject is given above this output. Ratings are incomplete, so trained outputs lie low.
+#: A subject is given above this output where no held-out post is rated with it. Ratings are incomplete, so trained outputs lie low.
 THRESHOLD = -1.25
+#: So many held-out ratings of a subject weigh as much as THRESHOLD in its own one.
+PRIOR = 15
+#: Values of the thresholds' measure from this part of the highest on count as good as it.
+NEARLY = 0.98
 #: Factor of the averages before the outputs, so that one telling word among many can decide.
 SCALE = 10.0
 SEED = 20240607
@@ -70,6 +81,7 @@ class Model:
         self.out[:] = rng.normal(0, 0.3, (SIZE, k))
         self.out_history = np.zeros((SIZE, k), dtype=np.float32)
         self.bias = np.full(k, -2.0, dtype=np.float32)
+        self.threshold = np.full(k, THRESHOLD, dtype=np.float32)
 
 
 def sentence_words(text: str | None, author: str | None) -> list[list[str]]:
@@ -194,7 +206,7 @@ def _synchronise(m: Model, deltas: list) -> None:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """sentences, target of at most ``fit_rows`` rated posts (a fixed choice by the hash of doc_id).
+    """sentences, target, held_out of at most ``fit_rows`` rated posts (a fixed choice by the hash of doc_id).
 
     Subjects are compared without case, outer blanks and question marks; unknown ones are ignored. A subject's target is 1
     when some rating names it, less by the part of ratings that say "none found". Ratings of posts that are not there
@@ -208,60 +220,142 @@ def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], fit_rows:
     )
     per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     target = F.array(*[(F.col(f"s{i}") * (1 - F.col("none"))).cast("float") for i in range(len(subjects))])
-    rows = docs.join(per, "doc_id").select("text", "author", target.alias("target"))
+    held_out = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
+    rows = docs.join(per, "doc_id").select("text", "author", target.alias("target"), held_out.alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, authors = b.column(0).to_pylist(), b.column(1).to_pylist()
             own = [[" ".join(w) for w in sentence_words(t, a)] for t, a in zip(texts, authors, strict=True)]
-            yield pa.record_batch({"sentences": pa.array(own, pa.list_(pa.string())), "target": b.column(2)})
+            yield pa.record_batch({"sentences": pa.array(own, pa.list_(pa.string())), "target": b.column(2), "held_out": b.column(3)})
 
-    return rows.mapInArrow(run, "sentences array<string>, target array<float>")
+    return rows.mapInArrow(run, "sentences array<string>, target array<float>, held_out boolean")
+
+
+def chosen_thresholds(outputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """A threshold per subject from outputs and targets of held-out posts.
+
+    Ratings miss subjects at random, so precision can't be read off them, but the square of the recall divided by the part of
+    posts above the threshold rises and falls with precision times recall whatever is missed. The threshold lies in the middle
+    of the outputs where it is nearly highest; subjects with few ratings are drawn to THRESHOLD.
+    """
+    best = np.full(targets.shape[1], THRESHOLD, dtype=np.float32)
+    for k in range(targets.shape[1]):
+        order = np.argsort(-outputs[:, k], kind="stable")
+        z, hits = outputs[order, k], np.cumsum(targets[order, k])
+        if not len(z) or hits[-1] <= 0:
+            continue
+        last = np.r_[z[1:] != z[:-1], True]
+        gain = np.where(last, (hits / hits[-1]) ** 2 / np.arange(1, len(z) + 1), 0)
+        near = np.flatnonzero(gain >= NEARLY * gain.max())
+        below = z[near[-1] + 1] if near[-1] + 1 < len(z) else z[near[-1]] - 1
+        own = (z[near[0]] + below) / 2
+        n = hits[-1]
+        best[k] = (n * own + PRIOR * THRESHOLD) / (n + PRIOR)
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], fit_rows: int = FIT_ROWS, passes: int = PASSES) -> Model:
-    """A model trained on the rated posts; the untrained one if there are none."""
-    rows = written(labelled(docs, labels, subjects, fit_rows).repartition(PARTITIONS))
+    """A model trained on the rated posts; the untrained one if there are none.
+
+    The held-out posts' outputs are the only other rows brought to the driver, at most ``fit_rows`` / HELD_OUT of about.
+    """
+    rows = written(labelled(docs, labels, subjects, fit_rows))
     m, spark = Model(subjects), docs.sparkSession
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    train = written(rows.where("not held_out").select("sentences", "target").repartition(parts))
     for k in range(passes):
         shared = spark.sparkContext.broadcast(m)
         run = _passes(shared, k, RATE * (1 - k / passes), k < WARM_PASSES)
-        deltas = rows.coalesce(PARTITIONS).mapInArrow(run, PASS).collect()  # at most PARTITIONS rows
+        deltas = train.coalesce(parts).mapInArrow(run, PASS).collect()  # at most ``parts`` rows
         shared.destroy()
         if not deltas:
             break
         _synchronise(m, deltas)
+    shared = spark.sparkContext.broadcast(m)
+
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for b in batches:
+            posts = [[s.split(" ") for s in d] for d in b.column(0).to_pylist()]
+            z, long = score.posts(posts)
+            yield pa.record_batch({"z": pa.array(list(z), pa.list_(pa.float32())), "target": b.column(1).take(pa.array(long))})
+
+    checked = rows.where("held_out").select("sentences", "target").mapInArrow(outputs, "z array<float>, target array<float>").collect()
+    if checked:
+        m.threshold = chosen_thresholds(np.array([r["z"] for r in checked]), np.array([r["target"] for r in checked]))
+    shared.destroy()
     return m
 
 
 class Scorer:
-    """Sentence outputs from cached outputs of single words."""
+    """Post outputs from cached outputs of single words."""
 
     def __init__(self, m: Model):
-        self.m, self.features, self.seen = m, Features(), {}
-
-    def _word(self, w: str) -> np.ndarray:
-        z = self.seen.get(w)
-        if z is None:
-            ids = self.features(w)
-            v = self.m.table[ids[0]]
-            if len(ids) > 1:
-                v = v + self.m.table[ids[1:]].mean(axis=0)
-            z = SCALE * (v @ self.m.out)
-            if len(self.seen) >= _CACHE:
-                self.seen.clear()
-            self.seen[w] = z
-        return z
-
-    def post(self, sentences: list[list[str]]) -> np.ndarray | None:
-        """Second highest output over the sentences, per subject; None below two sentences."""
-        if len(sentences) < 2:
-            return None
-        z = np.stack([np.mean([self._word(w) for w in s], axis=0) for s in sentences])
-        return np.partition(z, -2, axis=0)[-2] + self.m.bias
-
-
-def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+        self.m, self.features = m, Features()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.words = np.zeros((1024, len(self.m.subjects)), dtype=np.float32)
+
+    def _rows(self, flat: list[str]) -> np.ndarray:
+        if len(self.row) > _CACHE:
+            self._forget()
+        row, m = self.row, self.m
+        new = [w for w in dict.fromkeys(flat) if w not in row]
+        if new:
+            start, end = len(row), len(row) + len(new)
+            if end > len(self.words):
+                self.words = np.concatenate([self.words, np.zeros((max(end, 2 * len(self.words)) - len(self.words), self.words.shape[1]), dtype=np.float32)])
+            ids = [self.features(w) for w in new]
+            n = np.array([len(i) for i in ids])
+            heads = np.r_[0, np.cumsum(n)[:-1]]
+            vectors = m.table[np.concatenate(ids)]
+            own = vectors[heads].copy()
+            vectors[heads] = 0
+            vectors = own + np.add.reduceat(vectors, heads, axis=0) / np.maximum(n - 1, 1)[:, None]
+            self.words[start:end] = SCALE * (vectors @ m.out)
+            row.update(zip(new, range(start, end), strict=True))
+        return np.array([row[w] for w in flat], dtype=np.int64)
+
+    def posts(self, posts: list[list[list[str]]]) -> tuple[np.ndarray, list[int]]:
+        """Second highest output over the sentences, per subject, of the posts with two sentences or more, and which these are."""
+        long = [i for i, p in enumerate(posts) if len(p) > 1]
+        outputs = np.zeros((len(long), len(self.m.subjects)), dtype=np.float32)
+        at = 0
+        while at < len(long):
+            some, n = [], 0
+            while at + len(some) < len(long) and (not some or n < 100_000):
+                some.append(posts[long[at + len(some)]])
+                n += sum(map(len, some[-1]))
+            lengths = np.array([len(s) for p in some for s in p])
+            rows = self._rows([w for p in some for s in p for w in s])
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            z = np.concatenate([np.add.reduceat(self.words[rows[a:b]], starts[i:j] - a, axis=0) for a, b, i, j in _portions(starts, len(rows))]) / lengths[:, None]
+            first = np.r_[0, np.cumsum([len(p) for p in some])[:-1]]
+            top = np.maximum.reduceat(z, first, axis=0)
+            owner = np.repeat(np.arange(len(some)), [len(p) for p in some])
+            # the first sentence at the top is taken out once
+            at_top = z == top[owner]
+            place = np.where(at_top, np.arange(len(z))[:, None], len(z))
+            taken = np.minimum.reduceat(place, first, axis=0)
+            z[taken, np.arange(z.shape[1])] = -np.inf
+            outputs[at : at + len(some)] = np.maximum.reduceat(z, first, axis=0) + self.m.bias
+            at += len(some)
+        return outputs, long
+
+
+def _portions(starts: np.ndarray, n: int, size: int = 1 << 18) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, first sentence, sentence after the last) so that about ``size`` words are gathered at a time."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + size)))
+        yield int(starts[i]), int(starts[j]) if j < len(starts) else n, i, j
+        i = j
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, subject of every post with two sentences about the subject; one pass, no shuffle.
 
     Null, empty and blank texts, and posts with fewer than two sentences of their own, have no rows.
@@ -269,16 +363,13 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
+        score, m = Scorer(shared.value), shared.value
+        names = np.array(m.subjects, dtype=object)
         for b in batches:
-            ids, names = [], []
-            for i, t, a in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                z = score.post(sentence_words(t, a))
-                if z is not None:
-                    for k in np.flatnonzero(z > threshold).tolist():
-                        ids.append(i)
-                        names.append(shared.value.subjects[k])
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "subject": pa.array(names, pa.string())})
+            texts, authors = b.column(1).to_pylist(), b.column(2).to_pylist()
+            z, long = score.posts([sentence_words(t, a) for t, a in zip(texts, authors, strict=True)])
+            post, subject = np.nonzero(z > m.threshold)
+            yield pa.record_batch({"doc_id": b.column(0).take(pa.array(np.array(long, dtype=np.int64)[post])), "subject": pa.array(names[subject], pa.string())})
 
     return docs.select("doc_id", "text", "author").mapInArrow(run, "doc_id bigint, subject string")
 
