@@ -25,6 +25,17 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKEN
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def decoded(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
+    """doc_id, text of every row of ids; none give the empty text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = bpe.load(name, folder)
+        for b in batches:
+            texts = ["".join(bpe.decode(ids or [], merges)) for ids in b.column(1).to_pylist()]
+            yield pa.record_batch({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id, n_tokens of every document (0 for an empty or null text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
