@@ -37,6 +37,12 @@ def _f(spark: SparkSession, sf: str) -> DataFrame:
     return derived.base(_t(spark, sf, "documents"))
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of files_index that hold."""
+    rows = _t(spark, sf, "files_index").select("rel_path", "size", "mtime_ns", "synced_at", clean_key(F.col("object_key")).alias("object_key"))
+    return latest(rows, ["rel_path"], "synced_at", ["size", "mtime_ns", "object_key"])
+
+
 # SQL of the derived states (the twin of siltstone.sources.derived)
 _F = """f AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS rel_path, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size,
   doc_id * 1000000000 AS mtime_ns, md5(coalesce(text, '')) AS hash, 'md5:' || md5(coalesce(text, '')) AS object_key, coalesce(text, '') AS text, doc_id % 10 AS d FROM documents)"""
@@ -142,11 +148,33 @@ def dedup_incremental_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.duplicate_groups(dedup.next_states(f.select("rel_path", "size", "mtime_ns", "hash"), derived.file_states(f)))
 
 
-@_query(f"SELECT size, hash, count(*) AS n_files, min(path) AS representative FROM ({_held('left_states', 'path', 'recorded_at', _path('path') + ' AS path, size, ' + _key('hash') + ' AS hash, recorded_at', "path <> ''")}) WHERE hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-def dedup_groups_left(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_clean_path(_t(spark, sf, "left_states").where("path <> ''").select("path", "size", clean_key(F.col("hash")).alias("hash"), "recorded_at"), "path")
-    held = latest(rows, ["path"], "recorded_at", ["size", "hash"])
-    return dedup.duplicate_groups(held.select(F.col("path").alias("rel_path"), "size", "hash"))
+_BOTH = " UNION ALL ".join(f"SELECT '{t[0]}/' || path AS rel_path, size, hash FROM ({_held(t, 'path', 'recorded_at', _path('path') + ' AS path, size, ' + _key('hash') + ' AS hash, recorded_at', "path <> ''")}) WHERE path <> ''" for t in ("left_states", "right_states"))
+
+
+@_query(f"SELECT size, hash, count(*) AS n_files, min(rel_path) AS representative FROM ({_BOTH}) WHERE hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def dedup_groups_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal content across both sides of the pair, by the rows that hold."""
+    sides = [_side(spark, sf, t).select(F.concat(F.lit(f"{t[0]}/"), "rel_path").alias("rel_path"), "size", F.col("object_key").alias("hash")) for t in ("left_states", "right_states")]
+    return dedup.duplicate_groups(sides[0].unionByName(sides[1]))
+
+
+_HELD_FILES = _held("files_index", "rel_path", "synced_at", f"rel_path, size, mtime_ns, synced_at, {_key('object_key')} AS object_key")
+
+
+@_query(f"SELECT size, object_key AS hash, count(*) AS n_files, min(rel_path) AS representative FROM ({_HELD_FILES}) WHERE object_key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def dedup_groups_files(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.duplicate_groups(_files(spark, sf).withColumnRenamed("object_key", "hash"))
+
+
+_INODE = "CASE WHEN d < 5 THEN 7 ELSE doc_id END"
+
+
+@_query(f"WITH {_F}, i AS (SELECT f.*, {_INODE} AS ino FROM f), {_GROUPS} SELECT i.rel_path, g.representative, i.size FROM i JOIN g USING (size, hash) JOIN i r ON r.rel_path = g.representative WHERE i.rel_path <> g.representative AND i.ino <> r.ino")
+def dedup_link_plan_inodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that share the representative's inode already need no link."""
+    ino = F.when(F.col("d") < 5, 7).otherwise(F.col("doc_id"))
+    f = _f(spark, sf).select("rel_path", "size", "hash", F.lit(1).alias("dev"), ino.alias("ino"))
+    return dedup.link_plan(f, dedup.duplicate_groups(f))
 
 
 def _plan(spark: SparkSession, sf: str, fast: bool = True) -> DataFrame:
@@ -164,6 +192,22 @@ def sync_plan_strict(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, False)
 
 
+@_query(f"""WITH {_FI}, u AS (SELECT rel_path, size, mtime_ns, CASE WHEN d <> 9 THEN object_key END AS object_key FROM f)
+  SELECT u.rel_path, u.size, u.mtime_ns, u.object_key, nullif(i.object_key, '') AS old_object_key, CASE WHEN u.object_key IS NULL THEN 'skip_error'
+  WHEN u.size = i.size AND u.object_key = i.object_key AND abs(u.mtime_ns - i.mtime_ns) > 2000000000 THEN 'touch' ELSE 'copy' END AS action FROM u LEFT JOIN fi i ON i.rel_path = u.rel_path""")
+def sync_plan_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose content could not be read are passed over."""
+    f = _f(spark, sf)
+    return sync.sync_plan(f.withColumn("object_key", F.when(F.col("d") != 9, F.col("object_key"))), derived.files_index(f), False)
+
+
+@_query(f"SELECT task_id, object_key, object_key IS NOT NULL AND task_id = max(task_id) OVER (PARTITION BY object_key) AS is_last FROM (SELECT task_id, max({_key('object_key')}) AS object_key FROM copy_tasks GROUP BY 1)")
+def sync_last_of_key(spark: SparkSession, sf: str) -> DataFrame:
+    """After which task of its key a temporary object can go; one key holds about a tenth of the tasks."""
+    tasks = _t(spark, sf, "copy_tasks").groupBy("task_id").agg(F.max(clean_key(F.col("object_key"))).alias("object_key"))
+    return sync.last_of_key(tasks.withColumn("seq", F.col("task_id"))).select("task_id", "object_key", "is_last")
+
+
 _KNOWN = f"""{_P}, k AS (SELECT p.*, row_number() OVER (PARTITION BY object_key ORDER BY rel_path) > 1 OR object_key IN (SELECT object_key FROM oi) AS known FROM p WHERE action = 'copy')"""
 
 
@@ -315,9 +359,17 @@ for _s in bisync.STRATEGIES:
     _add_bisync(_s)
 
 
-def _final_sql(side: str) -> str:
+@_query(f"WITH {_BI} SELECT rel_path, left_change, right_change FROM c")
+def bisync_own_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's own state file on the sides is no file of theirs."""
+    left, right, *was = derived.bisync_sides(_f(spark, sf))
+    own = spark.createDataFrame([(bisync.OWN_INDEX, 1, 2)], "rel_path string, size bigint, mtime_ns bigint")
+    return bisync.bisync_changes(left.unionByName(own), right.unionByName(own), *was).select("rel_path", "left_change", "right_change")
+
+
+def _final_sql(side: str, strategy: str = "newer-wins") -> str:
     s, o = side[0], "r" if side == "left" else "l"
-    return f"""WITH {_BI}, a AS ({_actions_sql('newer-wins')}), came AS (SELECT a.to_path AS rel_path, k.{o}_size AS size, k.{o}_mtime AS mtime_ns FROM a JOIN k USING (rel_path) WHERE op = 'copy' AND to_side = '{side}')
+    return f"""WITH {_BI}, a AS ({_actions_sql(strategy)}), came AS (SELECT a.to_path AS rel_path, k.{o}_size AS size, k.{o}_mtime AS mtime_ns FROM a JOIN k USING (rel_path) WHERE op = 'copy' AND to_side = '{side}')
       SELECT rel_path, {s}_size AS size, {s}_mtime AS mtime_ns FROM k WHERE on_{side} AND rel_path NOT IN (SELECT rel_path FROM came) AND rel_path NOT IN (SELECT rel_path FROM a WHERE op = 'delete' AND to_side = '{side}') UNION ALL SELECT * FROM came"""
 
 
@@ -333,6 +385,18 @@ def bisync_final_right(spark: SparkSession, sf: str) -> DataFrame:
     return bisync.final_state("right", c, bisync.bisync_actions(c, "newer-wins"))
 
 
+@_query(_final_sql("left", "keep-both"))
+def bisync_final_left_keep_both(spark: SparkSession, sf: str) -> DataFrame:
+    c = _changes(spark, sf)
+    return bisync.final_state("left", c, bisync.bisync_actions(c, "keep-both"))
+
+
+@_query(_final_sql("right", "keep-both"))
+def bisync_final_right_keep_both(spark: SparkSession, sf: str) -> DataFrame:
+    c = _changes(spark, sf)
+    return bisync.final_state("right", c, bisync.bisync_actions(c, "keep-both"))
+
+
 _VE = f"""{_FI}, ix AS (SELECT rel_path, object_key FROM fi UNION ALL SELECT '../' || doc_id, object_key FROM f WHERE doc_id % 100 = 1),
   tg AS (SELECT rel_path, CASE WHEN doc_id % 10 = 8 AND rel_path NOT LIKE 'gone/%' THEN 'md5:corrupt' ELSE nullif(object_key, '') END AS object_key FROM fi WHERE doc_id % 10 <> 9),
   v AS (SELECT ix.rel_path, CASE WHEN ix.rel_path LIKE '../%' THEN 'escape' WHEN tg.rel_path IS NULL THEN 'missing' WHEN tg.object_key IS NULL THEN 'read_error' WHEN tg.object_key = ix.object_key THEN 'ok' ELSE 'mismatch' END AS verdict FROM ix LEFT JOIN tg ON tg.rel_path = ix.rel_path)"""
@@ -364,6 +428,15 @@ def reindex_files(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.reindex_files(derived.reindex_target(f), derived.reindex_inodes(f))
 
 
+@_query(f"WITH {_RX} SELECT * FROM rx")
+def reindex_metadata_dir(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's own folder on the target is left out."""
+    f = _f(spark, sf)
+    target = derived.reindex_target(f)
+    own = target.withColumn("rel_path", F.concat(F.lit(".siltstone/objects/"), "rel_path"))
+    return upkeep.reindex_files(target.unionByName(own), derived.reindex_inodes(f))
+
+
 @_query(f"WITH {_RX} SELECT object_key, max(size) AS size, CAST(count(*) AS INTEGER) AS ref_count, false AS orphaned FROM rx GROUP BY 1")
 def reindex_objects(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.reindex_objects(reindex_files(spark, sf)).select("object_key", "size", "ref_count", "orphaned")
@@ -418,6 +491,47 @@ def sync_source_deleted_held(spark: SparkSession, sf: str) -> DataFrame:
     return sync.source_deleted(_side(spark, sf, "left_states"), _side(spark, sf, "right_states"))
 
 
+_SCANNED = _held("manifest", "rel_path", "scanned_at", f"{_path('rel_path')} AS rel_path, size, mtime_ns, scanned_at", "rel_path <> ''")
+
+
+def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of manifest that hold."""
+    rows = with_clean_path(_t(spark, sf, "manifest").where("rel_path <> ''").select("rel_path", "size", "mtime_ns", "scanned_at"), "rel_path")
+    return latest(rows, ["rel_path"], "scanned_at", ["size", "mtime_ns"])
+
+
+@_query(f"""WITH m AS ({_SCANNED}), fi AS ({_HELD_FILES}) SELECT m.rel_path, CASE WHEN m.size = fi.size AND fi.object_key IS NOT NULL AND abs(m.mtime_ns - fi.mtime_ns) <= 2000000000 THEN 'skip' ELSE 'skip_error' END AS action
+  FROM m LEFT JOIN fi ON fi.rel_path = m.rel_path""")
+def sync_plan_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan of the posts' files against the index, before anything is read: what is not skipped has to be."""
+    return sync.sync_plan(_scanned(spark, sf).withColumn("object_key", F.lit(None).cast("string")), _files(spark, sf)).select("rel_path", "action")
+
+
+@_query(f"SELECT rel_path FROM ({_HELD_FILES}) WHERE rel_path NOT IN (SELECT rel_path FROM ({_SCANNED}))")
+def sync_source_deleted_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexed files that the scan of the posts' files has not."""
+    return sync.source_deleted(_scanned(spark, sf), _files(spark, sf))
+
+
+def _turn(now: str, was: str) -> str:
+    same = f"{now}.size = {was}.size AND abs({now}.mtime_ns - {was}.mtime_ns) <= 2000000000"
+    return f"CASE WHEN {now}.rel_path IS NULL THEN 'deleted' WHEN {was}.rel_path IS NULL THEN 'new' WHEN {same} THEN 'none' ELSE 'modified' END"
+
+
+@_query(f"WITH {_SIDES} SELECT rel_path, {_turn('f', 'fi')} AS left_change, {_turn('fi', 'f')} AS right_change FROM f FULL JOIN fi USING (rel_path)")
+def bisync_changes_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Each side against what the other one holds as its earlier state."""
+    left, right = _side(spark, sf, "left_states"), _side(spark, sf, "right_states")
+    return bisync.bisync_changes(left, right, right, left).select("rel_path", "left_change", "right_change")
+
+
+@_query(f"""SELECT f.rel_path, CASE WHEN fi.rel_path IS NULL THEN 'missing' WHEN fi.object_key IS NULL THEN 'read_error' WHEN fi.object_key = f.object_key THEN 'ok' ELSE 'mismatch' END AS verdict
+  FROM ({_side_sql('left_states')}) f LEFT JOIN ({_side_sql('right_states')}) fi ON fi.rel_path = f.rel_path""")
+def verify_report_held(spark: SparkSession, sf: str) -> DataFrame:
+    """The left side's record checked against what the right side holds."""
+    return upkeep.verify_report(_side(spark, sf, "left_states"), _side(spark, sf, "right_states"))
+
+
 @_query(f"""WITH k AS (SELECT size, rel_path > min(rel_path) OVER (PARTITION BY object_key) OR object_key IN (SELECT object_key FROM ({_HELD_OBJECTS})) AS known
   FROM (SELECT CAST(task_id AS VARCHAR) AS rel_path, * FROM {_TASK}) WHERE object_key IS NOT NULL)
   SELECT count(*) AS copied, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (known), 0) AS BIGINT) AS dedup_saved FROM k""")
