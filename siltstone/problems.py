@@ -16,6 +16,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.snapshot_changes(_t(spark, sf, "file_states"))
 
 
+def p1_two_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """The same cases from two deliveries: the later half of the snapshots is compared with what the first delivery kept."""
+    states, listings = _t(spark, sf, "file_states"), snapshots.Listings(spark)
+    cut = states.agg(F.floor((F.min("snapshot_no") + F.max("snapshot_no")) / 2)).first()[0]
+    if cut is None:
+        return listings.deliver(states)
+    return listings.deliver(states.where(F.col("snapshot_no") <= cut)).unionByName(listings.deliver(states.where(F.col("snapshot_no") > cut)))
+
+
 def p1_summary(spark: SparkSession, sf: str) -> DataFrame:
     return p1_found(spark, sf).groupBy("root", "snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_paths"))
 
@@ -55,7 +64,7 @@ def p4_join_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.task_object_totals(_t(spark, sf, "copy_tasks"), _t(spark, sf, "objects_index"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_summary, p3_found, p3_by_month, p3_orphan_keys, p4_found, p4_totals, p4_join_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_two_deliveries, p1_summary, p2_found, p2_summary, p3_found, p3_by_month, p3_orphan_keys, p4_found, p4_totals, p4_join_totals)}
 
 
 def _key(c: str) -> str:
@@ -121,6 +130,7 @@ _TASKS = f"SELECT k AS object_key, count(*) AS n_tasks, CAST(sum(size) AS BIGINT
 
 ORACLE = {
     "p1_found": _P1,
+    "p1_two_deliveries": _P1,
     "p1_summary": f"SELECT root, snapshot_no, change_kind, count(*) AS n_paths FROM ({_P1}) GROUP BY ALL",
     "p2_found": _P2,
     "p2_summary": f"SELECT field, count(*) AS n_paths FROM ({_P2}) GROUP BY ALL",
