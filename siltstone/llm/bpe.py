@@ -82,10 +82,19 @@ class Merges:
         return ids
 
 
+def read(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
+    """A vocabulary file, to be sent along with a job."""
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        return f.read()
+
+
 @functools.lru_cache(maxsize=4)
+def merges_of(vocabulary: bytes) -> Merges:
+    return Merges({base64.b64decode(t): int(r) for t, r in map(bytes.split, vocabulary.splitlines()) if t})
+
+
 def load(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Merges:
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-        return Merges({base64.b64decode(t): int(r) for t, r in map(bytes.split, f) if t})
+    return merges_of(read(name, folder))
 
 
 class PieceEncoder:
@@ -159,7 +168,12 @@ class TextEncoder:
         if self.open and not self._continue(ids, last):
             return ids
         at, buffer, pieces, piece = 0, self.rest, self.m._pieces, self.m.piece
-        limit = len(buffer) - (0 if last else PIECE_LOOKAHEAD)
+        if last:  # nothing can change any piece
+            for w in self.m.pattern.findall(buffer):
+                ids.extend(pieces.get(w) or piece(w))
+            self.rest = ""
+            return ids
+        limit = len(buffer) - PIECE_LOOKAHEAD
         for m in self.m.pattern.finditer(buffer):
             end = m.end()
             if end > limit:
@@ -168,7 +182,7 @@ class TextEncoder:
             ids.extend(pieces.get(w) or piece(w))
             at = end
         self.rest = buffer[at:]
-        if not last and len(self.rest) > max(self.chunk, SURE):
+        if len(self.rest) > max(self.chunk, SURE):
             head = self.rest[1] if self.rest[0] == " " and not self.rest[1].isspace() else self.rest[0]
             self.run = next(r for r in _RUNS if r.match(head))
             cut = len(self.rest) - PIECE_LOOKAHEAD

@@ -14,10 +14,13 @@ from siltstone.llm import bpe
 def encoded(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id, ids of every document, in one pass without a shuffle.
 
-    Whole texts, no special tokens; an empty or null text gives an empty list. Other columns are ignored.
+    Whole texts, no special tokens; an empty or null text gives an empty list. Other columns are ignored. The driver reads the
+    vocabulary (a megabyte or two) and sends it along.
     """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.read(name, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = bpe.load(name, folder)
+        merges = bpe.merges_of(vocabulary.value)
         for b in batches:
             ids = [bpe.encode(t, merges) for t in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
@@ -27,8 +30,10 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKEN
 
 def decoded(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id, text of every row of ids; none give the empty text."""
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(bpe.read(name, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = bpe.load(name, folder)
+        merges = bpe.merges_of(vocabulary.value)
         for b in batches:
             texts = ["".join(bpe.decode(ids or [], merges)) for ids in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
@@ -38,8 +43,10 @@ def decoded(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TO
 
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id, n_tokens of every document (0 for an empty or null text)."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.read(name, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = bpe.load(name, folder)
+        merges = bpe.merges_of(vocabulary.value)
         for b in batches:
             n = [len(bpe.encode(t, merges)) for t in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64())})
@@ -49,8 +56,10 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.
 
 def round_trip(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """lang, n_docs, n_tokens, n_broken: documents whose decoded ids are not their text (null counts as '')."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.read(name, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = bpe.load(name, folder)
+        merges = bpe.merges_of(vocabulary.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             ids = [bpe.encode(t, merges) for t in texts]

