@@ -1,7 +1,8 @@
 """Differences between two copies of data, field by field.
 
 Both copies are unpivoted to (key, field, value, sign) cells, one side positive and the other negative; one group per
-(key, field) then shows which cells do not cancel.
+(key, field) then shows which cells do not cancel. Rows are brought together by key before they are unpivoted, so the cells
+are made and grouped where they are and never moved.
 """
 
 from __future__ import annotations
@@ -10,29 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.files import TOLERANCE_NS
-from siltstone.functions.keys import clean_key, latest, with_clean_path
+from siltstone.functions.keys import clean_key, with_clean_path
 
 LEFT, RIGHT = 1, -1
 
 
-def cells(df: DataFrame, key: str, fields: dict[str, Column], sign: int) -> DataFrame:
-    """(key, field, value, sign) rows of one side.
+def cell(field: str, sign: int, value: Column | None, kind: str = "number") -> Column:
+    """A cell of one side: numbers travel in ``number``, anything else in ``text``; without a value it only says that the key is there."""
+    number = value.cast("bigint") if value is not None and kind == "number" else F.lit(None).cast("bigint")
+    text = value.cast("string") if value is not None and kind == "text" else F.lit(None).cast("string")
+    return F.struct(F.lit(field).alias("field"), number.alias("number"), text.alias("text"), F.lit(sign).alias("sign"), F.lit(value is None).alias("presence"))
 
-    Numbers travel in ``number``, anything else in ``text``. A null value gives no cell, except for a field given as
-    ``None``: its cell only says that the key is there.
-    """
-    made = []
-    for name, value in fields.items():
-        number = value if value is not None and dict(df.select(value.alias("v")).dtypes)["v"] in ("bigint", "int", "smallint", "tinyint") else None
-        text = value.cast("string") if value is not None and number is None else None
-        made.append(F.struct(
-            F.lit(name).alias("field"),
-            (number.cast("bigint") if number is not None else F.lit(None).cast("bigint")).alias("number"),
-            (text if text is not None else F.lit(None).cast("string")).alias("text"),
-            F.lit(value is None).alias("presence"),
-        ))
-    cell = df.select(F.col(key).alias("key"), F.inline(F.array(*made)))
-    return cell.where("presence or number is not null or text is not null").select("key", "field", "number", "text", F.lit(sign).alias("sign"))
+
+def unpivoted(rows: DataFrame, key: str, cells: Column) -> DataFrame:
+    """(key, field, number, text, sign) of the rows' arrays of cells; a cell with a null value is none."""
+    flat = rows.select(F.col(key).alias("key"), F.inline(cells))
+    return flat.where("presence or number is not null or text is not null").select("key", "field", "number", "text", "sign")
 
 
 def uncancelled(cells: DataFrame, tolerance: dict[str, int] | None = None) -> DataFrame:
@@ -60,10 +54,13 @@ def uncancelled(cells: DataFrame, tolerance: dict[str, int] | None = None) -> Da
     return out.where("differs is null or differs")
 
 
-def held_side(states: DataFrame) -> DataFrame:
-    """Rows of one side that hold: clean path, size, mtime_ns, clean hash; the latest ``recorded_at`` of a path."""
-    rows = with_clean_path(states.select("path", "size", "mtime_ns", clean_key(F.col("hash")).alias("hash"), "recorded_at").where("path <> ''"), "path")
-    return latest(rows.where("path <> ''"), ["path"], "recorded_at", ["size", "mtime_ns", "hash"])
+def _tagged(rows: DataFrame, sign: int) -> DataFrame:
+    """One side's rows, or the change list's (sign 0), in common columns; null and empty paths go."""
+    own = [("size", "bigint"), ("mtime_ns", "bigint"), ("hash", "string"), ("recorded_at", "timestamp_ntz")]
+    listed = [("left_size", "bigint"), ("right_size", "bigint")]
+    there = own if sign else listed
+    columns = [(F.col(c) if (c, kind) in there else F.lit(None)).cast(kind).alias(c) for c, kind in own + listed]
+    return rows.where("path <> ''").select("path", F.lit(sign).alias("sign"), *columns).withColumn("hash", clean_key(F.col("hash")))
 
 
 def pair_differences(left: DataFrame, right: DataFrame, changes: DataFrame) -> DataFrame:
@@ -71,22 +68,22 @@ def pair_differences(left: DataFrame, right: DataFrame, changes: DataFrame) -> D
 
     ``missing_left`` / ``missing_right``: the path is on the other side only. ``size``, ``mtime`` (more than 2 s apart),
     ``hash``: on both sides with different values; a value missing on either side is not compared. ``left_size`` /
-    ``right_size``: the change list's size differs from that side's own. Paths null, empty or without a segment are
-    ignored; empty inputs give the missing rows they imply.
+    ``right_size``: the change list's size differs from that side's own. Of a side's rows with one path the latest
+    ``recorded_at`` holds. Paths null, empty or without a segment are ignored; empty inputs give the missing rows they
+    imply. One shuffle, by path.
     """
-    sides = []
-    for states, sign, own, gone in ((left, LEFT, "left_size", "missing_right"), (right, RIGHT, "right_size", "missing_left")):
-        fields = {"present": None, "size": F.col("size"), "mtime": F.col("mtime_ns"), "hash": F.col("hash")}
-        held = held_side(states)
-        sides += [cells(held, "path", fields | {own: F.col("size")}, sign)]
-    listed = with_clean_path(changes.select("path", "left_size", "right_size").where("path <> ''"), "path").where("path <> ''")
-    sides += [
-        cells(listed, "path", {"left_size": F.col("left_size")}, RIGHT),
-        cells(listed, "path", {"right_size": F.col("right_size")}, LEFT),
-    ]
-    both = sides[0]
-    for more in sides[1:]:
-        both = both.unionByName(more)
-    open_cells = uncancelled(both, {"mtime": TOLERANCE_NS})
+    both = _tagged(left, LEFT).unionByName(_tagged(right, RIGHT)).unionByName(_tagged(changes, 0))
+    rows = with_clean_path(both, "path").where("path <> ''").repartition("path")
+    listed = [f(c).alias(f"{n}_{c}") for c in ("left_size", "right_size") for n, f in (("least", F.min), ("most", F.max))]
+    held = rows.groupBy("path", "sign").agg(F.max(F.struct("recorded_at", "size", "mtime_ns", "hash")).alias("held"), *listed)
+
+    def side(sign: int, own: str) -> Column:
+        size = F.col("held.size")
+        return F.array(cell("present", sign, None), cell("size", sign, size), cell("mtime", sign, F.col("held.mtime_ns")), cell("hash", sign, F.col("held.hash"), "text"), cell(own, sign, size))
+
+    # the list's sizes stand against the side they are about; the least and the most of them tell whether any differs
+    of_list = F.array(*[cell(c, -sign, F.col(f"{n}_{c}")) for c, sign in (("left_size", LEFT), ("right_size", RIGHT)) for n in ("least", "most")])
+    cells = F.when(F.col("sign") == LEFT, side(LEFT, "left_size")).when(F.col("sign") == RIGHT, side(RIGHT, "right_size")).otherwise(of_list)
+    open_cells = uncancelled(unpivoted(held.select("path", cells.alias("cells")), "path", F.col("cells")), {"mtime": TOLERANCE_NS})
     field = F.when(F.col("field") != "present", F.when(F.col("differs"), F.col("field"))).when(F.col("n_left") == 0, "missing_left").when(F.col("n_right") == 0, "missing_right")
     return open_cells.select(F.col("key").alias("path"), field.alias("field")).where("field is not null")
